@@ -30,6 +30,13 @@ def normal(v):
     return repr(v)
 
 
+def connect(folder):
+    con = duckdb.connect()
+    for t in BASE_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    return con
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(normal(r[i]) for i in order) for r in rows)
@@ -42,9 +49,7 @@ def main() -> int:
     args = ap.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
     spark = local_session()
-    con = duckdb.connect()
-    for t in BASE_TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    con = connect(folder)
     bad = 0
     for name, fn in catalog.QUERIES.items():
         if args.names and not any(n in name for n in args.names):
@@ -69,6 +74,7 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: oracle {str(e)[:1500]}")
             bad += 1
+            con = connect(folder)
             continue
         a, b = rows_of(df.columns, got), rows_of(cols, want)
         if sorted(df.columns) == sorted(cols) and a == b and a:
