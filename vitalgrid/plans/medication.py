@@ -78,6 +78,7 @@ def missed_reminders(ds):
 FROM (VALUES (0), (1), (2)) k(k) LEFT JOIN due d ON k.k = 0 LEFT JOIN missed m ON k.k > 0 WHERE COALESCE(d.reminder_id, m.reminder_id) IS NOT NULL""",
     VIEWS,
     [("due", DUE), ("missed", MISSED)],
+    inline=True,
 )
 def reminder_messages(ds):
     data = F.col("data")
