@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions import rx_fixed as fx
 from vitalgrid.functions import rx_text as tx
+from vitalgrid.functions.plan import computed_once
 from vitalgrid.operators.rx import lines as ln
 
 ITEM = ["name", "dosage", "strength", "instructions", "times_per_day", "specific_times", "confidence"]
@@ -28,9 +29,10 @@ def extract_fields(blocks: DataFrame) -> DataFrame:
 
 def clean_names(rows: DataFrame, raw: str = "raw", block: str = "block") -> DataFrame:
     """Add ``name``: the cleaned and canonical name of ``raw`` in its block."""
-    return rows.withColumn("name", tx.clean_name(F.col(raw))).withColumn(
+    named = rows.withColumn("name", tx.clean_name(F.col(raw))).withColumn(
         "name", tx.canonical_name(F.col("name"), F.col(block))
     )
+    return computed_once(named)
 
 
 def item_confidence(items: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def best_items(items: DataFrame) -> DataFrame:
     rank = F.struct(-F.col("confidence"), -F.length("name"), F.col("pos"))
     payload = F.struct(*[c for c in items.columns if c not in ("doc_id", "pos")])
     return (
-        plausible_items(items)
+        plausible_items(computed_once(items))
         .withColumn("identity", tx.identity_key(F.col("name")))
         .groupBy("doc_id", "identity")
         .agg(F.min_by(payload, rank).alias("best"), F.min("pos").alias("pos"))
@@ -69,7 +71,7 @@ def parse_block_items(blocks: DataFrame) -> DataFrame:
     flat = tx.one_line(F.col("block"))
     unnumbered = tx.replace(flat, r"^\s*[\W_]{0,4}\s*\d{1,2}\s*(?:[.)/\-]\s*|\s+)", "", tx.EXACT)
     rows = (
-        blocks.withColumn("block", unnumbered)
+        computed_once(blocks.withColumn("block", unnumbered))
         .filter(F.col("block") != "")
         .filter(tx.medicine_block(F.col("block")))
     )
@@ -119,11 +121,14 @@ def parse_numbered_items(groups: DataFrame) -> DataFrame:
 def parse_head_items(lines: DataFrame) -> DataFrame:
     """Items from marker lines alone: the first usable line of each number."""
     line = F.col("line")
-    rows = (
+    marked = (
         lines.filter(tx.matches(line, fx.LINE_MARKER, tx.EXACT))
         .withColumn("pos", tx.first(line, fx.LINE_MARKER, 1, tx.EXACT).cast("int"))
         .withColumn("raw", tx.clean_name(tx.strip_marker(line)))
         .withColumn("__low", F.lower("raw"))
+    )
+    rows = (
+        computed_once(marked)
         .filter(F.length("raw") >= 3)
         .filter((F.length(F.regexp_replace("__low", "[^a-zà-ỹ]+", "")) >= 5) | tx.has_signal(F.col("__low")))
         .withColumn("block", line)
@@ -142,14 +147,15 @@ def parse_relaxed_items(lines: DataFrame) -> DataFrame:
     flat = tx.replace(tx.one_line(line), r"^\s*[\W_]{0,4}\s*\d{1,2}\s*(?:[.)/\-]\s*|\s+)", "", tx.EXACT)
     rows = (
         lines.filter(tx.possible_medication(line))
-        .withColumn("__flat", flat)
+        .select("doc_id", "line_no", "line", flat.alias("__flat"))
         .withColumn("__plain", (F.col("__flat") != "") & tx.medicine_block(F.col("__flat")))
-        .withColumn("__strict", tx.canonical_name(tx.clean_name(F.col("__flat")), F.col("__flat")))
+        .withColumn("__strict", tx.clean_name(F.col("__flat")))
+        .withColumn("__strict", tx.canonical_name(F.col("__strict"), F.col("__flat")))
         .withColumn("__loose", tx.clean_name(line))
     )
     strict = F.col("__plain") & (F.length("__strict") >= 3)
     picked = (
-        rows.withColumn("strict", strict)
+        computed_once(rows.withColumn("strict", strict))
         .filter(strict | (F.length("__loose") >= 4))
         .withColumn("block", F.when(strict, F.col("__flat")).otherwise(line))
         .withColumn("name", F.when(strict, F.col("__strict")).otherwise(tx.canonical_name(F.col("__loose"), line)))
@@ -183,6 +189,9 @@ def parse_tabular_items(lines: DataFrame) -> DataFrame:
         .select("doc_id", "line_no", "line", F.explode("options").alias("opt"))
         .filter(F.length("opt.text") >= 5)
         .withColumn("raw", tx.clean_name(F.col("opt.text")))
+    )
+    rows = (
+        computed_once(rows)
         .filter((F.length("raw") >= 4) & ~header(F.col("raw")))
         .withColumn("name", tx.canonical_name(F.col("raw"), F.col("opt.text")))
         .withColumn("block", F.concat_ws(" ", "opt.text", "line"))
