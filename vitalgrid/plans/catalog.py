@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from vitalgrid.plans import alerts, charts, live, medication, people, sharing  # noqa: F401
+from vitalgrid.plans import alerts, charts, live, medication, people, scores, sharing, text  # noqa: F401
 from vitalgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
