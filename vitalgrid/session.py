@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +47,19 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_checkpoint_dir() -> str:
+    return tempfile.mkdtemp(prefix="vitalgrid-ckpt-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a fresh local one only when none is set (tests)."""
+    """Shared folder the cluster names; a fresh local one only in local mode, where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vitalgrid-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_checkpoint_dir()
 
 
 def cut_lineage(df):
