@@ -79,3 +79,35 @@ def test_chart_alerts_and_broadcast(spark, tmp_path):
     cols = ["event_id", "client_id", "group_id"]
     want = fanout.broadcast_fanout(readings, subs, live.watchers(ds)).select(cols)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select(cols)) == rows(want)
+
+
+def test_state_machines_equal_batch(spark, tmp_path):
+    ds = Dataset(spark, SF)
+
+    def collected(make, frame, name):
+        folder = in_files(frame, tmp_path / name, 1)
+        stream = spark.readStream.schema(frame.schema).parquet(folder)
+        out = make(stream)
+        q = (
+            out.writeStream.format("memory").queryName(name).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / (name + "-ck"))).trigger(availableNow=True).start()
+        )
+        run(q)
+        return spark.table(name)
+
+    requests = ds.view("v_requests")
+    got = collected(lambda s: state.limited_requests(s, 3, 7200), requests, "limits")
+    assert rows(got.fillna(-1)) == rows(gateway.rate_limit(requests, 3, 7200).select(got.columns).fillna(-1))
+
+    events = live.control(ds)
+    got = collected(state.subscription_changes, events, "subs")
+    last = got.groupBy(*fanout.KEY).agg(F.max_by("live", "seq").alias("live")).filter("live").select(*fanout.KEY)
+    assert rows(last) == rows(fanout.subscription_state(events).select(*fanout.KEY))
+
+    from vitalgrid.plans.people import MEMBER_EVENTS
+
+    member_events = ds.sql(MEMBER_EVENTS, ["v_groups"])
+    flat = changes.membership_events(member_events, ds.view("v_groups"))
+    got = collected(state.membership_changes, flat, "members")
+    want = changes.membership_steps(member_events, ds.view("v_groups")).select("group_id", "user_id", "seq", "before", "after")
+    assert rows(got) == rows(want)
