@@ -133,7 +133,12 @@ class LimiterProcessor(StatefulProcessor):
 
 
 def limited_requests(requests: DataFrame, limit: int = 100, window: int = 60) -> DataFrame:
-    """Stream of limiter verdicts, in the shape of ``rate_limit``."""
+    """Stream of limiter verdicts, in the shape of ``rate_limit``.
+
+    Open windows hold timers, for which a query runs empty batches; a bounded
+    run (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled=false
+    to end.
+    """
     from pyspark.sql import functions as F
 
     keyed = requests.select("event_id", identity().alias("key"), F.unix_micros("ts").alias("entry"))
