@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
@@ -25,10 +27,32 @@ RUNTIME_CONF = {
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    Functions that run in tasks are pickled by reference; without the package
+    on the workers' path they load only where the driver's folder happens to be.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vitalgrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(_staging().name, "vitalgrid_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("vitalgrid", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._vitalgrid_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -48,8 +72,9 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8
 
 
 @lru_cache(maxsize=1)
-def _local_checkpoint_dir() -> str:
-    return tempfile.mkdtemp(prefix="vitalgrid-ckpt-")
+def _staging() -> tempfile.TemporaryDirectory:
+    """The driver's own folder, gone when the process ends: the code archive, and tables of a local master."""
+    return tempfile.TemporaryDirectory(prefix="vitalgrid-")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -59,7 +84,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_checkpoint_dir()
+    return os.path.join(_staging().name, "tables")
 
 
 def cut_lineage(df):
