@@ -1,4 +1,4 @@
 """All registered corpus queries."""
 
-from vitalgrid.llm import chat_format, exact_dedup, line_dedup, packing, quality  # noqa: F401
+from vitalgrid.llm import bpe, chat_format, exact_dedup, line_dedup, packing, quality  # noqa: F401
 from vitalgrid.llm.registry import ORACLES, QUERIES  # noqa: F401

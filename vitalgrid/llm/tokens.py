@@ -84,10 +84,13 @@ class ChunkEncoder:
         if len(self.known) > MAX_CHUNKS:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        missing = set().union(*split) - known.keys()
-        for chunk in missing & older.keys():
-            known[chunk] = older[chunk]
-        missing = list(missing - older.keys())
+        missing = []
+        for chunk in [c for c in set().union(*split) if c not in known]:
+            ids = older.get(chunk)
+            if ids is None:
+                missing.append(chunk)
+            else:
+                known[chunk] = ids
         for at in range(0, len(missing), 50_000):
             self._fresh(missing[at : at + 50_000])
         out = [b"".join([known[c] for c in chunks]) for chunks in split]
