@@ -1,4 +1,4 @@
 """All registered corpus queries."""
 
-from vitalgrid.llm import bpe, chat_format, exact_dedup, id_files, line_dedup, packing, quality, shingle_join, suffix_dedup  # noqa: F401
+from vitalgrid.llm import bpe, chat_format, exact_dedup, id_files, line_dedup, packing, quality, shingle_join, suffix_dedup, vector_dedup  # noqa: F401
 from vitalgrid.llm.registry import ORACLES, QUERIES  # noqa: F401
