@@ -244,7 +244,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, runs, ...) -> counts and the bytes outside the runs."""
     for batch in batches:
         texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary()).to_pylist()
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
+        n_bytes, n_removed, n_spans, kept, kept_text = [], [], [], [], []
         for text, runs in zip(texts, batch.column(2).to_pylist(), strict=True):
             parts, at, spans = [], 0, 0
             for run in sorted((x["l"], x["r"] + LENGTH) for x in runs or []):
@@ -254,16 +254,18 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = max(at, run[1])
             parts.append(text[at:])
             kept.append(b"".join(parts))
+            kept_text.append("".join(p.decode("utf-8", "ignore") for p in parts))
             n_bytes.append(len(text))
             n_removed.append(len(text) - len(kept[-1]))
             n_spans.append(spans)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                pa.array(kept, pa.binary()), pa.array(kept_text, pa.string()),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 *batch.columns[3:],
             ],
-            names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *batch.schema.names[3:]],
+            names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", *batch.schema.names[3:]],
         )
 
 
@@ -307,9 +309,10 @@ def repeated_runs(base: DataFrame) -> DataFrame:
 
 
 def drop_repeated_bytes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """Per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, and the ``carry`` columns.
+    """Per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_text, kept_sha256, and the ``carry`` columns.
 
-    Texts are UTF-8 bytes; a null text is empty. Every byte covered by a 200-byte
+    Texts are UTF-8 bytes; a null text is empty. A run may begin or end inside a
+    character: ``kept`` has the remaining bytes, ``kept_text`` the whole characters among them. Every byte covered by a 200-byte
     string that also starts elsewhere, in any row or the same one, goes, so the
     first copy goes as well. Rows that repeat an id keep spans of their own. An
     empty table gives no rows; columns that are not carried are not read.
@@ -330,11 +333,11 @@ def drop_repeated_bytes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
         .select("doc", "text", "runs", *[f"with_{c}" for c in carry])
         .mapInArrow(
             cut,
-            "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string" + extra,
+            "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string" + extra,
         )
     )
     return out.select(
-        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256",
+        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256",
         *[F.col(f"with_{c}").alias(c) for c in carry],
     )
 
