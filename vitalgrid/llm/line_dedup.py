@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import documents_of, parts_for
@@ -199,18 +199,25 @@ def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(high, low, holder, last, n) -> keys of two or more documents, and one row without a key: the sum of all n."""
+    total, names = 0, ["high", "low", "holder", "n"]
+    for batch in batches:
+        total += pc.sum(batch.column(4)).as_py() or 0
+        again = pc.not_equal(batch.column(2), batch.column(3))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(again) for i in (0, 1, 2, 4)], names=names)
+    none = pa.nulls(1, pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array([total])], names=names)
+
+
 def repeated_lines(rows: DataFrame) -> tuple[DataFrame, int]:
     """Table of the keys held by two or more documents (high, low, holder, n), and the number of probes in all."""
-    seen = Observation()
-    counted = (
-        rows.observe(seen, F.count(F.lit(1)).alias("probes"))
-        .groupBy("high", "low")
-        .agg(F.min("doc").alias("holder"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
-        .filter("holder <> last")
-        .drop("last")
+    counted = rows.groupBy("high", "low").agg(
+        F.min("doc").alias("holder"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")
     )
-    table = cut_lineage(counted)
-    return table, seen.get["probes"]
+    table = cut_lineage(counted.mapInArrow(repeated_only, "high long, low long, holder long, n long"))
+    probes = table.filter("high IS NULL").agg(F.sum("n")).first()[0]
+    return table.filter("high IS NOT NULL"), probes or 0
 
 
 def drop_repeated_lines(docs: DataFrame, carry: list[str] = (), shard_keys: int = SHARD_KEYS, probes: int = PROBES) -> DataFrame:
