@@ -14,21 +14,20 @@ def two_decimals(x: Column) -> Column:
     decided by comparing the exact fraction, scaled to an integer, with the tie.
     """
     size = F.abs(x)
-    thousandths = F.round(size * 1000).cast("bigint")
-    is_tie = (F.pmod(thousandths, F.lit(10)) == 5) & (size == thousandths / F.lit(1000.0))
-    fraction = ((size - F.floor(size)) * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)")
-    tie = F.pmod(thousandths, F.lit(1000)).cast("decimal(20,0)") * F.lit(2**60).cast("decimal(20,0)")
+    whole = F.floor(size)
+    part = size - whole  # exact
+    thousandths = F.round(part * 1000).cast("bigint")
+    is_tie = (F.pmod(thousandths, F.lit(10)) == 5) & (size == whole + thousandths / F.lit(1000.0))
+    fraction = (part * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)")
+    tie = thousandths.cast("decimal(20,0)") * F.lit(2**60).cast("decimal(20,0)")
     scaled = fraction * F.lit(1000).cast("decimal(5,0)")
-    below = (thousandths - 5) / F.lit(10)
-    hundredths = (
-        F.when(scaled < tie, below)
-        .when(scaled > tie, below + 1)
-        .otherwise(F.when(F.pmod(below, F.lit(2)) == 0, below).otherwise(below + 1))
-    )
+    below = F.floor((thousandths - 5) / F.lit(10))
+    even = F.pmod(below, F.lit(2)) == 0
+    hundredths = F.when(scaled < tie, below).when(scaled > tie, below + 1).otherwise(F.when(even, below).otherwise(below + 1))
     exact = F.format_string(
-        "%s%s.%02d",
+        "%s%d.%02d",
         F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
-        F.floor(hundredths / 100).cast("string"),
-        F.pmod(hundredths, F.lit(100)).cast("int"),
+        whole + F.floor(hundredths / 100),
+        F.pmod(hundredths, F.lit(100)),
     )
-    return F.when(is_tie & (size < 1e12), exact).otherwise(F.format_string("%.2f", x))
+    return F.when(is_tie, exact).otherwise(F.format_string("%.2f", x))

@@ -1,54 +1,10 @@
-"""Joins and aggregates that stay balanced when one key holds most rows."""
+"""Aggregates that stay balanced when one key holds most rows; skewed joins are split at run time (``session.RUNTIME_CONF``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 100_000
-MAX_SALTS = 512
-
-
-def fan_out_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    hot_rows: int = HOT_ROWS,
-    how: str = "inner",
-) -> DataFrame:
-    """Equi join whose right side may hold very many rows under one key.
-
-    The right side is counted per key first (map-side combined). Keys above
-    ``hot_rows`` are cut into salts: right rows pick one by a hash of
-    ``spread``, left rows are repeated once per salt of their key. Other keys
-    keep a single salt, so cold keys pay nothing. No row is dropped.
-    """
-    if how != "inner":
-        raise ValueError("salting keeps inner joins exact, other kinds are left to AQE")
-    hot = (
-        right.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .select(
-            *keys,
-            F.least(F.lit(MAX_SALTS), F.ceil(F.col("__n") / F.lit(hot_rows))).cast("int").alias("__salts"),
-        )
-    )
-    salts = F.coalesce(F.col("__salts"), F.lit(1))
-    spread_left = (
-        left.join(hot, keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("__salts")
-    )
-    spread_right = (
-        right.join(hot, keys, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
-        .drop("__salts")
-    )
-    return spread_left.join(spread_right, [*keys, "__salt"]).drop("__salt")
-
-
 def first_by(df: DataFrame, keys: list[str], order: list, prefix: str = "") -> DataFrame:
     """First row per key in the given order as an aggregate, so hot keys are combined map-side.
 

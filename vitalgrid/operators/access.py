@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.skew import fan_out_join
 from vitalgrid.schemas import ACCESS_CONTROL
 
 
@@ -53,7 +52,7 @@ def authorised_members(requests: DataFrame, perms: DataFrame, members: DataFrame
         .join(base_rows(perms), ["owner_id", "metric_type"])
         .join(accepted(members, "owner_id"), ["group_id", "owner_id"], "left_semi")
     )
-    candidates = fan_out_join(shared, accepted(members, "viewer_id"), ["group_id"], ["viewer_id"]).filter(
+    candidates = shared.join(accepted(members, "viewer_id"), "group_id").filter(
         F.col("viewer_id") != F.col("owner_id")
     )
     return (
@@ -154,7 +153,7 @@ def visible_metrics(perms: DataFrame, members: DataFrame, viewers: DataFrame) ->
         .agg(F.collect_set("metric_type").alias("metrics"))
     )
     fallback = (
-        fan_out_join(asked, shared, ["group_id"], ["member_id"])
+        asked.join(shared, "group_id")
         .filter(F.col("member_id") != F.col("viewer_id"))
         .join(own_rules.select("group_id", "viewer_id", "member_id"), ["group_id", "viewer_id", "member_id"], "left_anti")
     )

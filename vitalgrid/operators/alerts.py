@@ -8,26 +8,14 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.numbers import two_decimals
 from vitalgrid.functions.skew import last_by
 
-# A sanity bound: the catalog is a handful of rows and is turned into one array.
-MAX_CATALOG = 10_000
-
 
 def catalog_array(metric_types: DataFrame):
-    """The metric catalog as one array value, computed once per query."""
-    checked = metric_types.agg(
-        F.when(F.count(F.lit(1)) > MAX_CATALOG, F.raise_error(F.lit("metric catalog too large"))).otherwise(
-            F.collect_list(
-                F.struct(
-                    F.col("id").alias("metric_id"),
-                    F.col("name").alias("metric_name"),
-                    "default_min_value",
-                    "default_max_value",
-                    "created_at",
-                )
-            )
-        )
+    """The metric catalog as one array value, computed once per query; only for the full user x metric grid."""
+    entry = F.struct(
+        F.col("id").alias("metric_id"), F.col("name").alias("metric_name"),
+        "default_min_value", "default_max_value", "created_at",
     )
-    return checked.scalar()
+    return metric_types.agg(F.collect_list(entry)).scalar()
 
 
 def effective_thresholds(users: DataFrame, metric_types: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.asof import next_event
-from vitalgrid.functions.skew import fan_out_join
 
 KEY = ["client_id", "target_user_id", "metric_type", "group_id"]
 # Control events are numbered; buckets of this many keep the next-event windows short.
@@ -78,12 +77,7 @@ def broadcast_fanout(readings: DataFrame, subscriptions: DataFrame, watchers: Da
         ["target_user_id", "metric_type", "viewer_id", "group_id"],
         "left_semi",
     ).select(*KEY, "viewer_id")
-    return fan_out_join(
-        readings.withColumnRenamed("user_id", "target_user_id"),
-        live,
-        ["target_user_id", "metric_type"],
-        ["client_id", "group_id"],
-    )
+    return readings.withColumnRenamed("user_id", "target_user_id").join(live, ["target_user_id", "metric_type"])
 
 
 def _by_day(intervals: DataFrame, last_day) -> DataFrame:
@@ -111,7 +105,7 @@ def broadcast_as_of(
     last_day = dated.agg(F.max("day")).scalar()
     subs = _by_day(subscription_spans, last_day)
     subscribed = (
-        fan_out_join(dated, subs, ["target_user_id", "metric_type", "day"], ["client_id", "group_id"])
+        dated.join(subs, ["target_user_id", "metric_type", "day"])
         .filter(_in_force())
         .drop("from_ts", "to_ts")
     )

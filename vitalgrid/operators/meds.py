@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.skew import fan_out_join, first_by, last_by
+from vitalgrid.functions.skew import first_by, last_by
 from vitalgrid.functions.zones import known_zone, local_date, local_time, zone_or_utc
 
 HH_MM = r"^([01]?\d|2[0-3]):[0-5]\d$"
@@ -47,9 +47,9 @@ def due_reminders(reminders: DataFrame, medications: DataFrame, users: DataFrame
         )
         .join(zoned, "user_id")
     )
-    # everybody in one zone may be reminded at one time of day
+    # everybody in one zone may be reminded at one time of day: such keys are split at run time
     return (
-        fan_out_join(clock, candidates, ["zone", "time"], ["reminder_id"])
+        clock.join(candidates, ["zone", "time"])
         .filter(F.col("today") >= F.col("start_date"))
         .filter(F.col("end_date").isNull() | (F.col("today") <= F.col("end_date")))
         .select("tick", "reminder_id", "medication_id", "user_id", "time")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import access, alerts
 from vitalgrid.plans.registry import query
-from vitalgrid.plans.sharing import PAIRS, WATCHERS
+from vitalgrid.plans.sharing import RULE_STEPS, WATCHERS
 from vitalgrid.sources import readings as source
 from vitalgrid.sources.tables import as_instants
 
@@ -29,7 +29,7 @@ SELECT w.watcher_id, b.event_id, 'Health Alert (Shared)', b.level, w.group_name,
 FROM breaches b JOIN watchers w ON w.owner_id = b.user_id AND w.metric_type = b.metric_type JOIN v_users u ON u.id = b.user_id"""
 
 VIEWS = ["v_users", "v_metric_types", "v_thresholds", "v_readings", "v_sharing_permissions", "v_groups", "v_tokens"]
-STEPS = [("effective", EFFECTIVE), ("breaches", BREACHES), ("pairs", PAIRS), ("watchers", WATCHERS), ("alerts", ALERTS)]
+STEPS = [("effective", EFFECTIVE), ("breaches", BREACHES), *RULE_STEPS, ("watchers", WATCHERS), ("alerts", ALERTS)]
 
 
 def effective(ds):
@@ -60,7 +60,7 @@ def effective_thresholds(ds):
 
 @query("threshold_breaches", "SELECT * FROM breaches", VIEWS, STEPS[:2])
 def threshold_breaches(ds):
-    return alerts.threshold_breaches(ds.view("v_readings"), effective(ds))
+    return breaches(ds)
 
 
 @query("alert_fanout", "SELECT * FROM alerts", VIEWS, STEPS)

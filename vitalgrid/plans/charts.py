@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import series
 from vitalgrid.plans.registry import query
+from vitalgrid.plans.sharing import ASKED_OFFERS, GRANTED, RULE
 
 # Own charts for four keywords, and the next user's heart rate and SpO2 over custom ranges.
 REQUESTS = """
@@ -32,15 +33,11 @@ SELECT *, CASE WHEN range = 'custom' AND ("start" IS NULL OR "end" IS NULL) THEN
 
 STEPS = [("requests", REQUESTS), ("plan_times", PLAN_SQL), ("planned", PLANNED)]
 
-# The access condition in its nested-EXISTS form.
-ALLOWED = """(p.observer_id = p.user_id OR EXISTS (SELECT 1 FROM v_sharing_permissions base
- WHERE base.user_id = p.user_id AND base.metric_type = p.metric_type AND base.shared_with_user_id IS NULL
- AND (EXISTS (SELECT 1 FROM v_sharing_permissions s WHERE s.group_id = base.group_id AND s.user_id = base.user_id
-   AND s.shared_with_user_id = p.observer_id AND s.metric_type = base.metric_type)
-  OR NOT EXISTS (SELECT 1 FROM v_sharing_permissions a WHERE a.group_id = base.group_id AND a.user_id = base.user_id
-   AND a.shared_with_user_id = p.observer_id AND a.metric_type = 'access_control'))
- AND EXISTS (SELECT 1 FROM v_group_members x WHERE x.group_id = base.group_id AND x.user_id = p.observer_id AND x.status = 'accepted')
- AND EXISTS (SELECT 1 FROM v_group_members y WHERE y.group_id = base.group_id AND y.user_id = p.user_id AND y.status = 'accepted')))"""
+# Distinct questions behind the requests; one's own data needs no grant.
+ASKED = "SELECT DISTINCT observer_id, user_id AS target_id, metric_type FROM requests"
+ALLOWED = """SELECT observer_id, target_id, metric_type FROM asked WHERE observer_id = target_id
+ UNION SELECT viewer_id, owner_id, metric_type FROM granted"""
+ACCESS_STEPS = [("asked", ASKED), *RULE, ("offers", ASKED_OFFERS), ("granted", GRANTED), ("allowed", ALLOWED)]
 
 
 def requests(ds):
@@ -61,16 +58,17 @@ def chart_plan(ds):
 
 @query(
     "chart_buckets",
-    f"""SELECT p.request_id, p.user_id, p.metric_type, p.bucket,
+    """SELECT p.request_id, p.user_id, p.metric_type, p.bucket,
  CASE p.bucket WHEN '15 minutes' THEN time_bucket(INTERVAL 15 MINUTE, r.time) WHEN '1 hour' THEN time_bucket(INTERVAL 1 HOUR, r.time)
  WHEN '1 day' THEN time_bucket(INTERVAL 1 DAY, r.time) ELSE time_bucket(INTERVAL 7 DAY, r.time) END AS bucket_time,
  ROUND(CASE WHEN t.agg = 'SUM' THEN SUM(r.value) ELSE AVG(r.value) END, 6) AS value
 FROM planned p JOIN v_metric_types t ON t.name = p.metric_type
 JOIN v_readings r ON r.user_id = p.user_id AND r.metric_type = p.metric_type AND r.time BETWEEN p.start_time AND p.end_time
-WHERE p.status = 'ok' AND {ALLOWED}
+JOIN allowed ON allowed.observer_id = p.observer_id AND allowed.target_id = p.user_id AND allowed.metric_type = p.metric_type
+WHERE p.status = 'ok'
 GROUP BY p.request_id, p.user_id, p.metric_type, p.bucket, bucket_time, t.agg""",
     ["v_readings", "v_metric_types", "v_sharing_permissions"],
-    STEPS,
+    [*STEPS, *ACCESS_STEPS],
 )
 def chart_buckets(ds):
     out = series.chart_buckets(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import access, fanout, gateway
 from vitalgrid.plans.registry import query
-from vitalgrid.plans.sharing import PAIRS, STREAM_WATCHERS
+from vitalgrid.plans.sharing import PAIRS, RULE_STEPS, STREAM_WATCHERS
 from vitalgrid.sources.tables import as_instants
 
 VIEWS = ["v_readings", "v_sharing_permissions", "v_users", "v_groups", "v_control_events", "v_requests"]
@@ -51,7 +51,7 @@ FROM v_readings r JOIN state s ON s.target_user_id = r.user_id AND s.metric_type
 WHERE EXISTS (SELECT 1 FROM watchers w WHERE w.owner_id = r.user_id AND w.metric_type = r.metric_type AND w.watcher_id = s.viewer_id
  AND (s.group_id = '' OR s.group_id = CAST(w.group_id AS VARCHAR)))""",
     VIEWS,
-    [("pairs", PAIRS), ("watchers", STREAM_WATCHERS), ("state", STATE)],
+    [*RULE_STEPS, ("watchers", STREAM_WATCHERS), ("state", STATE)],
 )
 def broadcast_fanout(ds):
     out = fanout.broadcast_fanout(ds.view("v_readings"), fanout.subscription_state(control(ds)), watchers(ds))
@@ -65,7 +65,7 @@ FROM v_readings r JOIN intervals s ON s.target_user_id = r.user_id AND s.metric_
 WHERE EXISTS (SELECT 1 FROM spans w WHERE w.owner_id = r.user_id AND w.metric_type = r.metric_type AND w.watcher_id = s.viewer_id
  AND (s.group_id = '' OR s.group_id = CAST(w.group_id AS VARCHAR)) AND w.from_ts <= r.time AND (w.to_ts IS NULL OR r.time < w.to_ts))""",
     VIEWS,
-    [("pairs", PAIRS), ("watchers", STREAM_WATCHERS), ("intervals", INTERVALS), ("spans", SPANS)],
+    [*RULE_STEPS, ("watchers", STREAM_WATCHERS), ("intervals", INTERVALS), ("spans", SPANS)],
 )
 def broadcast_as_of(ds):
     rights = watchers(ds)

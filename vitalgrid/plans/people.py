@@ -69,7 +69,7 @@ def groups_of_owner(ds):
     return people.groups_of_owner(ds.view("v_groups"), 2).select("owner_id", "group_id", "position")
 
 
-KEYS = """SELECT o_orderkey AS seq, o_custkey * 2 AS user_id, o_custkey % 30 AS group_id, o_orderpriority AS metric FROM orders"""
+KEYS = """SELECT o_orderkey AS seq, o_custkey * 2 AS user_id, CAST(FLOOR(o_custkey / 60) AS BIGINT) + CASE WHEN o_orderkey % 6 = 0 THEN 900000 ELSE 0 END AS group_id, o_orderpriority AS metric FROM orders"""
 
 
 @query(
@@ -97,13 +97,13 @@ def bulk_exists(ds):
 @query(
     "bulk_lookup",
     """SELECT k.seq, CASE WHEN u.id IS NULL THEN 'Unknown User' ELSE u.name END AS name, e.id AS by_email, g.id AS by_name_and_owner FROM keys k LEFT JOIN v_users u ON u.id = k.user_id
- LEFT JOIN v_users e ON e.email = 'user' || CAST(k.seq AS VARCHAR) || '@example.com' LEFT JOIN v_groups g ON g.name = 'GERMANY' AND g.owner_id = k.user_id""",
+ LEFT JOIN v_users e ON e.email = 'user' || CAST(k.seq AS VARCHAR) || '@example.com' LEFT JOIN v_groups g ON g.name = 'team 1' AND g.owner_id = k.user_id""",
     VIEWS,
     [("keys", KEYS)],
 )
 def bulk_lookup(ds):
     keys = ds.sql(KEYS).select(
-        "seq", "user_id", F.concat(F.lit("user"), F.col("seq").cast("string"), F.lit("@example.com")).alias("email"), F.lit("GERMANY").alias("group")
+        "seq", "user_id", F.concat(F.lit("user"), F.col("seq").cast("string"), F.lit("@example.com")).alias("email"), F.lit("team 1").alias("group")
     )
     names = people.user_names(keys.select("user_id").distinct(), ds.view("v_users"))
     out = keys.join(names, "user_id")
@@ -182,9 +182,9 @@ def user_invitations(ds):
     )
 
 
-# Requests by owners, by members whose id is low (they sent invitations), and into missing groups.
+# Requests by owners, by members who sent invitations, and into missing groups.
 REQUESTERS = """SELECT id * 10 + 1 AS request_id, id AS group_id, owner_id AS requester_id FROM v_groups
- UNION ALL SELECT group_id * 1000000 + user_id + 500000, group_id, user_id FROM v_group_members WHERE user_id < 97
+ UNION ALL SELECT group_id * 1000000 + user_id + 500000, group_id, user_id FROM v_group_members WHERE user_id % 60 BETWEEN 1 AND 5
  UNION ALL SELECT id * 10 + 2, id + 1000, owner_id FROM v_groups"""
 
 OPEN = """SELECT m.group_id, m.user_id, u.email AS user_email, u.name AS user_name, m.invited_by, i.name AS inviter_name, m.status, m.created_at
@@ -376,7 +376,7 @@ def transfer_ownership(ds):
     return groups.select("id", "owner_id")
 
 
-GROUP_REQUESTS = """SELECT o_orderkey AS seq, o_orderkey + 1000 AS id, o_custkey % 200 AS owner_id, CASE o_orderkey % 5 WHEN 0 THEN 'ab' WHEN 1 THEN 'GERMANY' ELSE 'team ' || CAST(o_orderkey % 37 AS VARCHAR(9)) END AS name,
+GROUP_REQUESTS = """SELECT o_orderkey AS seq, o_orderkey + 1000 AS id, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 900000000 ELSE o_custkey END AS owner_id, CASE o_orderkey % 5 WHEN 0 THEN 'ab' WHEN 1 THEN 'team 1' ELSE 'team ' || CAST(o_orderkey % 37 AS VARCHAR(9)) END AS name,
  CAST(NULL AS VARCHAR(20)) AS description, o_orderdate AS at FROM orders"""
 
 
@@ -392,8 +392,8 @@ def bulk_groups(ds):
     return verdicts
 
 
-GROUP_PATCHES = """SELECT o_orderkey AS seq, o_custkey % 30 AS id, CASE WHEN o_orderkey % 2 = 0 THEN g.owner_id ELSE o_custkey END AS requester_id,
- CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 2 THEN 'team ' || CAST(o_orderkey AS VARCHAR(12)) END AS name, CAST(NULL AS VARCHAR(20)) AS description FROM orders LEFT JOIN v_groups g ON g.id = o_custkey % 30"""
+GROUP_PATCHES = """SELECT o_orderkey AS seq, CAST(FLOOR(o_custkey / 60) AS BIGINT) AS id, CASE WHEN o_orderkey % 2 = 0 THEN g.owner_id ELSE o_custkey END AS requester_id,
+ CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 2 THEN 'team ' || CAST(o_orderkey AS VARCHAR(12)) END AS name, CAST(NULL AS VARCHAR(20)) AS description FROM orders LEFT JOIN v_groups g ON g.id = CAST(FLOOR(o_custkey / 60) AS BIGINT)"""
 
 
 @query(
@@ -408,9 +408,9 @@ def patch_groups(ds):
 
 
 # Events make users walk through invitation, answer and approval, in every order.
-MEMBER_EVENTS = """SELECT e.event_id AS seq, e.user_id % 30 AS group_id, e.user_id AS user_id, CASE WHEN e.event_id % 3 = 0 THEN e.user_id ELSE COALESCE(g.owner_id, 0) END AS actor_id,
+MEMBER_EVENTS = """SELECT e.event_id AS seq, CAST(FLOOR(e.user_id / 60) AS BIGINT) AS group_id, e.user_id AS user_id, CASE WHEN e.event_id % 3 = 0 THEN e.user_id ELSE COALESCE(g.owner_id, 0) END AS actor_id,
  CASE e.event_type WHEN 'click' THEN 'invite' WHEN 'view' THEN 'respond' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'reject' ELSE 'respond' END AS action,
- CASE e.event_id % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE 'accepted' END AS status, e.ts FROM events e LEFT JOIN v_groups g ON g.id = e.user_id % 30"""
+ CASE e.event_id % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'pending' ELSE 'accepted' END AS status, e.ts FROM events e LEFT JOIN v_groups g ON g.id = CAST(FLOOR(e.user_id / 60) AS BIGINT)"""
 
 # The status machine as a recursive walk over each membership's numbered events.
 MEMBER_WALK = """WITH RECURSIVE {views}, ev AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id, user_id ORDER BY seq) AS rn FROM

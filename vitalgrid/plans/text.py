@@ -390,13 +390,15 @@ def reading_order(ds):
     return scans.reading_order(boxes).withColumn("confidence", F.round("confidence", 6))
 
 
-TEXTS = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 50) ELSE text END AS primary_text, substr(text, 1, 300) AS secondary_text, CAST((doc_id % 10) / 10.0 AS DOUBLE) AS score FROM documents"""
+# The second reading of a document is the next document's text; every fifth has none.
+TEXTS = """SELECT d.doc_id, d.text AS primary_text, s.text AS secondary_text, CAST((d.doc_id % 10) / 10.0 AS DOUBLE) AS score
+ FROM documents d LEFT JOIN documents s ON s.doc_id = d.doc_id + 1 AND d.doc_id % 5 <> 0"""
 
 
 @query(
     "choose_text",
     """SELECT doc_id, CASE WHEN take THEN secondary_text ELSE primary_text END AS text, CASE WHEN take THEN GREATEST(score, 0.5) ELSE score END AS score, take AS used_fallback
- FROM (SELECT *, (length(primary_text) < 120 OR score < 0.45) AND length(secondary_text) > length(primary_text) AS take FROM texts)""",
+ FROM (SELECT *, (length(primary_text) < 120 OR score < 0.45) AND COALESCE(length(secondary_text), 0) > length(primary_text) AS take FROM texts)""",
     [],
     [("texts", TEXTS)],
 )

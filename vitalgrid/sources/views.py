@@ -1,6 +1,7 @@
 """Health-domain views over the base tables, one SQL text for Spark and for the checking engine.
 
-Each view names the views it builds on; ``with_views`` renders the needed ones
+Groups hold about 80 members and grow in number with the customers, so the
+pairs of members grow in proportion to the data. Each view names the views it builds on; ``with_views`` renders the needed ones
 as a WITH list, so a query over views is a single statement in either engine.
 """
 
@@ -38,19 +39,19 @@ SELECT c_custkey AS id,
  FROM customer""")
 
 view("v_groups", [], """
-SELECT CAST(n.n_nationkey AS BIGINT) AS id, n.n_name AS name, MIN(c.c_custkey) AS owner_id,
- TIMESTAMP '2024-01-01 00:00:00' + CAST(n.n_nationkey % 7 AS INT) * INTERVAL '1' DAY AS created_at
- FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_nationkey, n.n_name""")
+SELECT CAST(FLOOR(c_custkey / 60) AS BIGINT) AS id, 'team ' || CAST(CAST(FLOOR(c_custkey / 60) AS BIGINT) AS VARCHAR(12)) AS name,
+ MIN(c_custkey) AS owner_id, TIMESTAMP '2024-01-01 00:00:00' + CAST(MIN(c_custkey) % 7 AS INT) * INTERVAL '1' DAY AS created_at
+ FROM customer GROUP BY CAST(FLOOR(c_custkey / 60) AS BIGINT)""")
 
 view("v_group_members", [], """
-SELECT CAST(c_nationkey AS BIGINT) AS group_id, c_custkey AS user_id,
+SELECT CAST(FLOOR(c_custkey / 60) AS BIGINT) AS group_id, c_custkey AS user_id,
  CASE c_mktsegment WHEN 'FURNITURE' THEN 'pending' WHEN 'HOUSEHOLD' THEN 'pending_owner_approval' ELSE 'accepted' END AS status,
- c_custkey % 97 AS invited_by, TIMESTAMP '2024-01-01 00:00:00' + CAST(c_custkey % 300 AS INT) * INTERVAL '1' HOUR AS created_at
+ c_custkey - c_custkey % 60 + 1 + c_custkey % 5 AS invited_by, TIMESTAMP '2024-01-01 00:00:00' + CAST(c_custkey % 300 AS INT) * INTERVAL '1' HOUR AS created_at
  FROM customer
  UNION ALL
- SELECT CAST((c_nationkey + 1) % 25 AS BIGINT) AS group_id, c_custkey AS user_id, 'accepted' AS status, c_custkey % 97 AS invited_by,
+ SELECT CAST(FLOOR(c_custkey / 60) AS BIGINT) - 1 AS group_id, c_custkey AS user_id, 'accepted' AS status, c_custkey - c_custkey % 60 + 1 AS invited_by,
  TIMESTAMP '2024-01-01 00:00:00' + CAST(c_custkey % 300 AS INT) * INTERVAL '1' HOUR AS created_at
- FROM customer WHERE c_custkey % 3 = 0""")
+ FROM customer WHERE c_custkey % 3 = 0 AND c_custkey >= 60""")
 
 view("v_sharing_permissions", ["v_metric_types", "v_group_members"], """
 SELECT m.group_id, m.user_id, t.name AS metric_type, CAST(NULL AS BIGINT) AS shared_with_user_id
@@ -58,12 +59,12 @@ SELECT m.group_id, m.user_id, t.name AS metric_type, CAST(NULL AS BIGINT) AS sha
  UNION ALL
  SELECT a.group_id, a.user_id, 'access_control' AS metric_type, b.user_id AS shared_with_user_id
  FROM v_group_members a JOIN v_group_members b ON a.group_id = b.group_id AND a.user_id <> b.user_id
- WHERE (a.user_id + b.user_id) % 5 = 0 AND ABS(a.user_id - b.user_id) <= 400
+ WHERE (a.user_id + b.user_id) % 5 = 0
  UNION ALL
  SELECT a.group_id, a.user_id, t.name AS metric_type, b.user_id AS shared_with_user_id
  FROM v_group_members a JOIN v_group_members b ON a.group_id = b.group_id AND a.user_id <> b.user_id
  JOIN v_metric_types t ON (a.user_id + b.user_id + t.id) % 4 = 0
- WHERE (a.user_id + b.user_id) % 5 <= 1 AND ABS(a.user_id - b.user_id) <= 400""")
+ WHERE (a.user_id + b.user_id) % 5 <= 1""")
 
 view("v_readings", [], """
 SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'heart_rate' WHEN 'view' THEN 'spo2'
@@ -87,7 +88,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS medication_id, l_line
  MIN(l_returnflag) <> 'R' AS is_enabled, MAX(l_shipdate) AS last_taken FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 
 view("v_shares", [], """
-SELECT o_orderkey AS id, o_orderkey AS medication_id, o_custkey % 25 AS group_id, (o_custkey + 1) % 150 AS shared_with_user_id,
+SELECT o_orderkey AS id, o_orderkey AS medication_id, CAST(FLOOR(o_custkey / 60) AS BIGINT) AS group_id, o_custkey + 1 AS shared_with_user_id,
  CAST(15 * (o_orderkey % 5) AS INT) AS notify_offset_minutes,
  CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey * 10 + 1 END AS last_notified_reminder_id,
  CASE WHEN o_orderkey % 16 = 0 THEN CAST(o_orderdate AS DATE) + 30 END AS last_notified_date
@@ -100,9 +101,9 @@ SELECT event_id, CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR(20)) END
  CASE WHEN value > 100 THEN 500 ELSE 200 END AS status, value / 100 AS seconds, ts FROM events""")
 
 view("v_control_events", [], """
-SELECT event_id, user_id % 40 AS client_id, user_id % 40 AS viewer_id, event_id % 150 AS target_user_id,
+SELECT event_id, user_id AS client_id, user_id AS viewer_id, user_id + event_id % 9 - 4 AS target_user_id,
  CASE event_type WHEN 'click' THEN 'heart_rate' WHEN 'view' THEN 'spo2' ELSE 'steps_count' END AS metric_type,
- CASE WHEN event_id % 2 = 0 THEN '' ELSE CAST(event_id % 25 AS VARCHAR(20)) END AS group_id,
+ CASE WHEN event_id % 2 = 0 THEN '' ELSE CAST(CAST(FLOOR(user_id / 60) AS BIGINT) AS VARCHAR(20)) END AS group_id,
  CASE WHEN event_type = 'error' THEN 'unsubscribe' WHEN event_id % 500 = 0 THEN 'disconnect' ELSE 'subscribe' END AS action, ts FROM events""")
 
 view("v_tokens", ["v_users"], """
