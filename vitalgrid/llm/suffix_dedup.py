@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import documents_of, parts_for
+from vitalgrid.llm.common import documents_of, parts_for, rows_of_ids
 from vitalgrid.llm.registry import query
 from vitalgrid.llm.rolling import RollingHash, sliding_min
 from vitalgrid.session import cut_lineage
@@ -46,6 +46,7 @@ HOT_SHARE = 1e-4
 BUCKET_PHRASES = 150_000
 BUCKET_CONTEXTS = 8_000
 HOT_PHRASES = 4_000
+COPIES = 64
 NO_ID = -(2**63)
 POSITION = np.uint64(0xFFFFFF)
 
@@ -114,7 +115,7 @@ FULL, ONCE, SAMPLE = 0, 1, 2
 
 
 def classify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Phrases of a bucket: FULL where the phrase repeats; ONCE, and a SAMPLE of each repeated one, where grams are shared."""
+    """Phrases of a bucket: FULL (without gram) where the phrase repeats; ONCE, and a SAMPLE of each repeated one, where grams are shared."""
     gram, phrase = rows["gram"].to_numpy(), rows["phrase"].to_numpy()
     order = np.lexsort((phrase, gram))
     gram, phrase = gram[order], phrase[order]
@@ -125,24 +126,29 @@ def classify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     times, mates = np.bincount(word)[word], np.bincount(group[new_phrase])[group]
     full, once = times > 1, (times == 1) & (mates > 1)
     sample = new_phrase & full & (mates > 1)
-    out = rows.iloc[order].drop(columns=["phrase", "bucket"])
+    out = rows.iloc[order].drop(columns=["phrase", "bucket"]).astype({"gram": "Int64"})
     return pd.concat(
-        [out[full].assign(kind=FULL), out[once].assign(kind=ONCE), out[sample].assign(kind=SAMPLE)]
-    )[["doc", "twin", "gram", "l", "r", "kind"]]
+        [out[full].assign(kind=FULL, gram=pd.NA), out[once].assign(kind=ONCE), out[sample].assign(kind=SAMPLE)]
+    ).astype({"gram": "Int64"})[["doc", "twin", "gram", "l", "r", "kind"]]
 
 
 def counted_natively(rows: DataFrame) -> DataFrame:
-    """``classify`` for hot grams: counts are combined before the shuffle, instances are joined back to them."""
+    """``classify`` for hot grams: counts are combined before the shuffle; repeated phrases meet their instances in ``COPIES`` places."""
     place = F.struct("doc", "twin", "l")
-    counts = rows.groupBy("gram", "phrase").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("sample"))
-    known = rows.join(counts, ["gram", "phrase"])
-    is_sample = (F.col("times") > 1) & place.eqNullSafe(F.col("sample"))
+    counts = (
+        rows.groupBy("gram", "phrase")
+        .agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("sample"))
+        .filter("times > 1")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    )
+    known = rows.withColumn("copy", F.pmod(F.xxhash64("doc", "l"), F.lit(COPIES)).cast("int")).join(
+        counts, ["gram", "phrase", "copy"], "left"
+    )
     kinds = F.array_compact(
-        F.array(
-            F.when(F.col("times") > 1, FULL).otherwise(ONCE), F.when(is_sample, SAMPLE)
-        )
+        F.array(F.when(F.col("times").isNull(), ONCE).otherwise(FULL), F.when(place == F.col("sample"), SAMPLE))
     )
-    return known.select("doc", "twin", "gram", "l", "r", F.explode(kinds).alias("kind"))
+    kept = known.select("doc", "twin", "gram", "l", "r", F.explode(kinds).alias("kind"))
+    return kept.withColumn("gram", F.when(F.col("kind") != FULL, F.col("gram")))
 
 
 CONTEXT = "doc long, twin long, gram long, l int, kind int, context binary, w1 long, w2 long"
@@ -294,7 +300,7 @@ def repeated_runs(base: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("gram", "l", "r", "kind", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("needs"))
     )
     dictionary = cut_lineage(
-        base.join(needs, ["doc", "twin"]).select("doc", "twin", "text", "needs").mapInArrow(contexts, CONTEXT)
+        rows_of_ids(base, open_phrases, "doc").join(needs, ["doc", "twin"]).select("doc", "twin", "text", "needs").mapInArrow(contexts, CONTEXT)
     )
     plain, single = dictionary.filter("context IS NOT NULL"), dictionary.filter("context IS NULL")
     buckets = parts_for(plain.count(), BUCKET_CONTEXTS)
