@@ -115,3 +115,63 @@ def test_state_machines_equal_batch(spark, tmp_path):
     want = changes.membership_steps(member_events, ds.view("v_groups")).select("group_id", "user_id", "seq", "before", "after")
     assert rows(got) == rows(want)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+class _Window:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    """State and timers of one key; ``pass_time`` fires what is due, as the engine does between batches."""
+
+    def __init__(self):
+        self.window, self.timers, self.now = _Window(), set(), 0
+
+    def getValueState(self, name, schema):
+        return self.window
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def pass_time(self, processor, until):
+        self.now = until
+        for at in sorted(t for t in self.timers if t <= until):
+            self.timers.discard(at)
+            list(processor.handleExpiredTimer(("k",), self, type("Info", (), {"getExpiryTimeInMs": lambda _, at=at: at})()))
+
+
+def test_limiter_keeps_a_touched_window():
+    """Three batches 0, 21 and 41 s apart in wall time, all in one window of event time."""
+    import pandas as pd
+
+    from vitalgrid.streaming.state import LimiterProcessor
+
+    handle, limiter = _Handle(), LimiterProcessor(limit=2, window=15)
+    limiter.init(handle)
+    seen = []
+    for event, wall in enumerate((0, 21_000, 41_000)):
+        handle.pass_time(limiter, wall)
+        rows = iter([pd.DataFrame({"event_id": [event], "entry": [1_000_000 * event]})])
+        seen += [(r.n, r.blocked) for out in limiter.handleInputRows(("k",), rows, handle) for r in out.itertuples()]
+    assert seen == [(1, False), (2, False), (3, True)] and len(handle.timers) == 1
+    handle.pass_time(limiter, 80_000)
+    assert not handle.window.exists() and not handle.timers

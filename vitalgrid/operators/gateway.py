@@ -35,7 +35,7 @@ def identity():
     return (
         F.when(F.col("sub").isNotNull(), F.concat(F.lit("user:"), "sub"))
         .when(F.coalesce("api_key", F.lit("")) != "", F.concat(F.lit("apikey:"), "api_key"))
-        .otherwise(F.concat(F.lit("ip:"), "ip"))
+        .otherwise(F.concat(F.lit("ip:"), F.coalesce("ip", F.lit(""))))
     )
 
 

@@ -104,10 +104,10 @@ class LimiterProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "opened bigint, n bigint")
+        self.window = handle.getValueState("window", "opened bigint, n bigint, expires bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened, n = self.window.get() if self.window.exists() else (None, 0)
+        opened, n, expires = self.window.get() if self.window.exists() else (None, 0, None)
         out = []
         for r in pd.concat(list(rows)).sort_values(["entry", "event_id"]).itertuples(index=False):
             entry = int(r.entry)
@@ -117,15 +117,21 @@ class LimiterProcessor(StatefulProcessor):
             blocked = n > self.limit
             left = (opened + self.micros - entry + 500_000) // 1_000_000 if blocked else None
             out.append((int(r.event_id), key[0], n, max(self.limit - n, 0), blocked, left))
-        self.window.update((opened, n))
-        # a window nobody has touched for twice its length of wall time is dropped
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 2 * self.micros // 1000)
+        # Windows open and close in event time. Wall time only frees state: a window nobody has
+        # touched for twice its length is dropped, so each touch moves the one timer.
+        if expires is not None:
+            self.handle.deleteTimer(expires)
+        expires = timerValues.getCurrentProcessingTimeInMs() + 2 * self.micros // 1000
+        self.handle.registerTimer(expires)
+        self.window.update((opened, n, expires))
         frame = pd.DataFrame(out, columns=["event_id", "key", "n", "remaining", "blocked", "retry_after"])
         frame["retry_after"] = frame["retry_after"].astype("Int64")
         yield frame
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.window.clear()
+        # A timer that a later touch replaced says nothing about the window.
+        if self.window.exists() and self.window.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.window.clear()
         return iter([])
 
     def close(self) -> None:
