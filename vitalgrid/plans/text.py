@@ -358,7 +358,7 @@ def merge_passes(ds):
     return scans.merge_passes(lines, base)
 
 
-SCORED = """SELECT doc_id, p.p AS pass, CAST(0.5 + 0.05 * ((doc_id + p.k) % 3) AS DOUBLE) AS conf, repeat('x', CAST((doc_id * (p.k + 1)) % 2500 AS INT)) AS text
+SCORED = """SELECT doc_id, p.p AS pass, CAST(0.5 + 0.05 * ((doc_id + p.k) % 3) AS DOUBLE) AS conf, CASE WHEN (doc_id + p.k) % 3 = 0 THEN text || ' ' || text ELSE text END AS text
  FROM documents JOIN (VALUES (0, 'enhanced'), (1, 'deskewed'), (2, 'adaptive'), (3, 'soft')) p(k, p) ON p.k >= 0"""
 
 
@@ -455,19 +455,25 @@ def scrub_pii(ds):
     return scans.scrub_pii(ds.sql(PRIVATE))
 
 
+SAID = "SELECT conv_id, turn, role, text || chr(10) || 'xin goi 0912345678 ' || role AS text FROM conversations"
+SAID_LINES = SCRUBBED.replace("doc_id", "conv_id, turn, role").replace("FROM private", "FROM said")
+
+
 @query(
     "scrub_payloads",
-    """SELECT conv_id, turn, '[REDACTED]' AS phone, CASE WHEN turn % 2 = 0 THEN '[REDACTED]' ELSE role END AS who, role AS note, 'xin goi [PHONE_REDACTED] ' || role AS text FROM conversations""",
+    """SELECT conv_id, turn, '[REDACTED]' AS phone, CASE WHEN turn % 2 = 0 THEN '[REDACTED]' ELSE role END AS who, role AS note, text FROM cleaned""",
+    [],
+    [("said", SAID), ("cleaned", SAID_LINES)],
 )
 def scrub_payloads(ds):
-    rows = ds.table("conversations").select(
+    rows = ds.sql(SAID).select(
         "conv_id",
         "turn",
         F.create_map(
             F.lit("Phone"), F.lit("123"),
             F.when(F.col("turn") % 2 == 0, "patient_name").otherwise(F.lit("who")), F.col("role"),
             F.lit("note"), F.col("role"),
-            F.lit("raw_text"), F.concat(F.lit("xin goi 0912345678 "), F.col("role")),
+            F.lit("raw_text"), F.col("text"),
         ).alias("payload"),
     )
     out = scans.scrub_payloads(rows)
