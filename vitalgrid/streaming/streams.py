@@ -7,7 +7,8 @@ replaces its own output and does not count against itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,16 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(processingTime="10 seconds") if live else writer.trigger(availableNow=True)).start()
 
 
+@contextmanager
+def _read_once(batch: DataFrame) -> Iterator[DataFrame]:
+    """A batch that several branches use: read and decoded once."""
+    batch = batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def _batch_path(folder: str, batch_id: int) -> str:
     return f"{folder}/batch_id={batch_id}"
 
@@ -93,6 +104,10 @@ def stream_alerts(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         t = {name: read() for name, read in tables.items()}
+        with _read_once(batch) as batch:
+            alert(batch, batch_id, t)
+
+    def alert(batch: DataFrame, batch_id: int, t: dict[str, DataFrame]) -> None:
         bounds = alerts.thresholds_for(batch.select("user_id", "metric_type"), t["metric_types"], t["thresholds"])
         found = alerts.threshold_breaches(batch, bounds)
         pairs = found.select(F.col("user_id").alias("owner_id"), "metric_type")
@@ -144,6 +159,10 @@ def stream_broadcast(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         t = {name: read() for name, read in tables.items()}
+        with _read_once(batch) as batch:
+            deliver(batch, batch_id, t)
+
+    def deliver(batch: DataFrame, batch_id: int, t: dict[str, DataFrame]) -> None:
         subs = t["subscriptions"]
         asked = batch.select(F.col("user_id").alias("owner_id"), "metric_type").distinct()
         # only pairs somebody listens to need their rights looked up
