@@ -77,13 +77,13 @@ class Model:
 
     def learn(self, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray, new: np.ndarray) -> None:
         """Shares move towards a bound of their own, so they never leave the two bounds."""
-        gap = HIGH_SHARE - LOW_SHARE
-        self.share2 += ((is2 * gap + LOW_SHARE - self.share2) >> RATE) * self.has2
-        self.share1 += ((is1 * gap + LOW_SHARE - self.share1) >> RATE) * (self.has1 & ~is2)
-        self.unseen += ((new * gap + LOW_SHARE - self.unseen) >> RATE) * ~(is1 | is2)
+        gap = np.int32(HIGH_SHARE - LOW_SHARE)
+        self.share2 += ((is2 * gap + np.int32(LOW_SHARE) - self.share2) >> RATE) * self.has2
+        self.share1 += ((is1 * gap + np.int32(LOW_SHARE) - self.share1) >> RATE) * (self.has1 & ~is2)
+        self.unseen += ((new * gap + np.int32(LOW_SHARE) - self.unseen) >> RATE) * ~(is1 | is2)
         self.table1[self.at1] = ids
         self.table2[self.at2] = ids
-        self.last2, self.last1 = self.last1, ids.astype(np.uint32)
+        self.last2, self.last1 = self.last1, ids.view(np.uint32)
 
 
 class History:
@@ -93,23 +93,31 @@ class History:
         blocks, n = ids.shape
         self.n = n
         self.sorted = np.sort(ids, axis=1)
+        self.fresh = np.ones((blocks, n), bool)
+        self.fresh[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the run at every sorted position."""
+        blocks, n = self.sorted.shape
         at = np.arange(n, dtype=np.int32)
-        fresh = np.ones((blocks, n), bool)
-        fresh[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        self.first = np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
+        first = np.maximum.accumulate(np.where(self.fresh, at, 0), axis=1)
         ends = np.full((blocks, n), n, np.int32)
-        ends[:, :-1] = np.where(fresh[:, 1:], at[1:], n)
-        self.count = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - self.first
+        ends[:, :-1] = np.where(self.fresh[:, 1:], at[1:], n)
+        return first, np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - first
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and count of every id of (blocks, m), as (m, blocks); count 0 where it is new."""
         blocks, m = ids.shape
-        starts, counts = np.empty((m, blocks), np.int32), np.empty((m, blocks), np.int32)
+        starts, counts = np.empty((blocks, m), np.int32), np.empty((blocks, m), np.int32)
+        start_of, count_of = np.zeros(NONE + 1, np.int32), np.zeros(NONE + 1, np.int32)
         for i in range(blocks):
-            at = np.minimum(np.searchsorted(self.sorted[i], ids[i]), self.n - 1)
-            starts[:, i] = self.first[i, at]
-            counts[:, i] = self.count[i, at] * (self.sorted[i, at] == ids[i])
-        return starts, counts
+            heads = np.flatnonzero(self.fresh[i])
+            known = self.sorted[i, heads]
+            start_of[known] = heads
+            count_of[known] = np.diff(heads, append=self.n)
+            starts[i], counts[i] = start_of[ids[i]], count_of[ids[i]]
+            count_of[known] = 0
+        return np.ascontiguousarray(starts.T), np.ascontiguousarray(counts.T)
 
 
 def history_ends(n: int) -> list[int]:
@@ -187,7 +195,8 @@ def decode_blocks(coded: list[bytes], n: int) -> np.ndarray:
     for begin, stop in zip(ends, [*ends[1:], n], strict=True):
         if begin:
             past = History(np.ascontiguousarray(ids[:begin].T))
-            flat_ids, flat_first, flat_count = past.sorted.ravel(), past.first.ravel(), past.count.ravel()
+            flat_ids = past.sorted.ravel()
+            flat_first, flat_count = (x.ravel() for x in past.runs())
             rows = np.arange(blocks, dtype=np.int32) * begin
         for t in range(begin, stop):
             model.predict(begin.bit_length() - 1)
