@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import AWKWARD
+from cases import AWKWARD
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import vector_dedup

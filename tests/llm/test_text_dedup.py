@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import AWKWARD, BASE
+from cases import AWKWARD, BASE
 
 from vitalgrid.llm import shingle_join, suffix_dedup
 from vitalgrid.llm.exact_dedup import exact_duplicates

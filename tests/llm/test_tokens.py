@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import AWKWARD
+from cases import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
