@@ -12,8 +12,9 @@ def two_decimals(x: Column) -> Column:
     ``format_string`` rounds the shortest decimal text half up. Both agree
     unless that text ends in a 5 at the third decimal, so only such values are
     decided by comparing the exact fraction, scaled to an integer, with the tie.
+    From 2**63 on the digits are those of the shortest decimal text.
     """
-    size = F.abs(x)
+    size = F.least(F.abs(x), F.lit(2.0**53))  # from there on no value has a fraction
     whole = F.floor(size)
     part = size - whole  # exact
     thousandths = F.round(part * 1000).cast("bigint")
@@ -30,4 +31,9 @@ def two_decimals(x: Column) -> Column:
         whole + F.floor(hundredths / 100),
         F.pmod(hundredths, F.lit(100)),
     )
-    return F.when(is_tie, exact).otherwise(F.format_string("%.2f", x))
+    whole_number = F.when(F.abs(x) >= 2.0**53, x.try_cast("bigint"))  # null from 2**63 on
+    return (
+        F.when(is_tie, exact)
+        .when(whole_number.isNotNull(), F.format_string("%d.00", whole_number))
+        .otherwise(F.format_string("%.2f", x))
+    )
