@@ -13,7 +13,7 @@ from vitalgrid.llm import shingle_join, suffix_dedup
 from vitalgrid.llm.exact_dedup import exact_duplicates
 from vitalgrid.llm.graph import components
 from vitalgrid.llm.line_dedup import PerfectHash, drop_repeated_lines
-from vitalgrid.llm.shingle_join import near_duplicates
+from vitalgrid.llm.shingle_join import near_duplicates, similar_pairs
 from vitalgrid.llm.suffix_dedup import drop_repeated_bytes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,6 +144,42 @@ def test_near_duplicates(documents, seed, monkeypatch):
     assert got(near_duplicates(documents(rows)), "doc_id", "n_shingles", "component_id") == plain_components(rows)
 
 
+def plain_links(rows):
+    """Per row its number of links, and the linked pairs of different sets by their members' ids."""
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    counts = sorted((i, sum(near(sets[i], sets[j]) for j in sets if j != i)) for i in sets)
+    return counts, {(i, j) for i in sets for j in sets if i != j and sets[i] != sets[j] and near(sets[i], sets[j])}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_links_of_chains(documents, small, monkeypatch):
+    words = [f"v{k}" for k in range(64)]
+    chain = [(i, " ".join(words[3 * i : 3 * i + 44])) for i in range(7)]  # each is linked with its neighbours only
+    rows = [(i, t) for i, t in AWKWARD if i not in (None, 9, 10)]
+    rows += [(50 + i, t) for i, t in chain] + [(60 + k, chain[k][1].upper()) for k in (0, 3)]
+    rows += [(100 + i, t) for i, t in edited_copies(3)]
+    if small:  # clusters in blocks, many of which overlap
+        for name, value in (("BLOCK", 3), ("BUCKET_POSTINGS", 50), ("TASK_SETS", 4), ("COUNTERS", 8), ("FREQUENT", 5)):
+            monkeypatch.setattr(shingle_join, name, value)
+        monkeypatch.setattr(shingle_join, "drawn_together", lambda members: members)
+    counts, linked = plain_links(rows)
+    assert {(50, 51), (51, 52)} < linked and (50, 52) not in linked
+    table = documents(rows)
+    assert got(near_duplicates(table), "doc_id", "n_links") == sorted(counts, key=str)
+    pairs, member = similar_pairs(table)
+    found = got(pairs, "set_a", "set_b")
+    assert len(found) == len(set(found))
+    ids = defaultdict(list)
+    for i, name in got(member, "doc_id", "set_id"):
+        ids[name].append(i)
+    joined = {(i, j) for a, b in found for i in ids[a] for j in ids[b]}
+    assert joined | {(j, i) for i, j in joined} == linked
+
+
 def test_overlaps_follow_from_the_set_before():
     rng = np.random.default_rng(4)
     for _ in range(30):
