@@ -180,6 +180,18 @@ def test_links_of_chains(documents, small, monkeypatch):
     assert joined | {(j, i) for i, j in joined} == linked
 
 
+def test_ids_with_several_texts(documents):
+    words = [f"u{k}" for k in range(200)]
+    text = lambda k: " ".join(words[k : k + 44])
+    rows = [(None, text(0)), (None, text(3)), (7, text(6)), (8, text(9))]  # a chain through two texts without id
+    rows += [(20, text(60)), (30, text(60)), (30, text(120)), (25, text(120)), (30, ""), (26, text(123))]  # joined by id 30 only
+    rows += [(40, "alone"), (40, None), (41, "")]
+    df = near_duplicates(documents(rows))
+    assert got(df, "doc_id", "n_shingles", "component_id") == plain_components(rows)
+    counts = dict.fromkeys([7], 2) | {8: 1, 20: 1, 25: 2, 26: 2, 40: 0, 41: 0}
+    assert {i: n for i, n in got(df, "doc_id", "n_links") if i in counts} == counts
+
+
 def test_overlaps_follow_from_the_set_before():
     rng = np.random.default_rng(4)
     for _ in range(30):
