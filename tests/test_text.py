@@ -140,3 +140,21 @@ def test_scrub(spark):
     text = "Họ tên: Nguyễn A\n\nGọi 0912345678 hoặc a.b@c.vn\nmã 123456789012 ngày 3"
     row = scans.scrub_pii(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
     assert row.text == "[Đã che thông tin cá nhân]\nGọi [PHONE_REDACTED] hoặc [EMAIL_REDACTED]\nmã [ID_REDACTED] ngày 3"
+
+
+def test_whole_texts_are_cleaned_and_audited(spark, tmp_path):
+    from vitalgrid.plans.catalog import QUERIES
+
+    texts = {i: "\n".join([f"line {k} of {i}" for k in range(3000)] + [f"last words {i}"]) for i in range(3)} | {3: "", 4: "ab"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cleaned = {r.doc_id: r.text for r in QUERIES["clean_markdown_texts"](spark, str(tmp_path)).collect()}
+    assert cleaned[0] == "Đơn thuốc\n" + texts[0]
+    assert cleaned[1] == "\n".join(["# Scan 7", *(f"> **{x}**" for x in texts[1].split("\n"))])  # no line with dosing words: all stay
+    assert cleaned[2] == "\n".join(f"{x} 2 viên" for x in texts[2].split("\n"))
+    assert cleaned[-1] == cleaned[-2] == ""
+    audited = {r.path: (r.length, r.verdict) for r in QUERIES["image_intake_texts"](spark, str(tmp_path)).collect()}
+    assert [audited[f"scan-{i}"] for i in range(3)] == [
+        (4 + len(texts[i]), verdict) for i, verdict in enumerate(["ok", "ok", "unsupported_type"])
+    ]
+    assert audited["scan-3"] == (1, "file_too_small") and audited["scan-4"] == (2, "file_too_small")
+    assert audited["scan-empty"][1] == "empty_file" and audited["scan-large"][1] == "file_too_large"

@@ -418,6 +418,42 @@ def clean_markdown(ds):
     return scans.clean_markdown(ds.sql(MARKED))
 
 
+# Whole texts under a heading and bullets; of three documents one has the prescription header, one dosing words in every line.
+# A null and an empty text come on top.
+MARKED_TEXTS = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# Scan 7' || chr(10) || '## Đơn thuốc' || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ')
+ WHEN 1 THEN '# Scan 7' || chr(10) || '> **' || replace(text, chr(10), '**' || chr(10) || '> **') || '**'
+ ELSE '# Scan 7' || chr(10) || '| ' || replace(text, chr(10), ' | 2 viên |' || chr(10) || '| ') || ' | 2 viên |' END AS text FROM documents
+ UNION ALL SELECT CAST(-1 AS BIGINT), nullif('', '') UNION ALL SELECT CAST(-2 AS BIGINT), ''"""
+BLANK = r"[\t-\r \x{85}\p{Z}]"
+WORD_SIGN = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def plain_word(words):
+    return f"(?i)(?:^|[^{WORD_SIGN}])(?:{words})(?:[^{WORD_SIGN}]|$)"
+
+
+BARE = f"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(s, '^(?:[#>*-]|{BLANK})+', ''), '[*][*](.*?)[*][*]', '\\1', 'g'), '|', ' '), '{BLANK}+', ' ', 'g'), '^[ :;-]+|[ :;-]+$', '', 'g')"""
+IS_HEADER = f"regexp_matches(s, '{plain_word('đơn thuốc|toa thuốc')}')"
+IS_NOISE = f"""regexp_matches(s, '(?i)^(?:#+|[*_`>-]+)$|^{BLANK}*(?:thông tin|scan|barcode|mã đơn|ms|số phiếu|địa chỉ|dt)(?:[^{WORD_SIGN}]|$)')"""
+IS_ITEM = f"""(regexp_matches(s, '^{BLANK}*(?:\\p{{Nd}}{{1,2}}{BLANK}*[)./-]|[-*])') OR regexp_matches(s, '{plain_word('mg|mcg|g|ml|viên|goi|gói|ống|sáng|trưa|chiều|tối|uống')}'))"""
+MARKED_LINES = f"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(COALESCE(text, ''), '{BREAKS}'), lambda s: regexp_replace(s, '^{BLANK}+|{BLANK}+$', '', 'g')), lambda s: s <> '') AS ls FROM marked"""
+MARKED_BARE = f"""SELECT doc_id, ls, bs, list_position(list_transform(bs, lambda s: {IS_HEADER}), TRUE) AS head FROM
+ (SELECT doc_id, ls, list_filter(list_transform(ls, lambda s: {BARE}), lambda s: s <> '') AS bs FROM marked_lines)"""
+
+
+@query(
+    "clean_markdown_texts",
+    f"""SELECT doc_id, COALESCE(regexp_replace(array_to_string(CASE WHEN len(ks) > 0 THEN ks ELSE list_transform(ls, lambda s: regexp_replace(s, '{BLANK}+', ' ', 'g')) END, chr(10)), '^{BLANK}+|{BLANK}+$', '', 'g'), '') AS text FROM
+ (SELECT doc_id, ls, list_filter(bs, lambda s, i: {IS_HEADER} OR (NOT {IS_NOISE} AND (COALESCE(i > head, FALSE) OR {IS_ITEM}))) AS ks FROM marked_bare)""",
+    [],
+    [("marked", MARKED_TEXTS), ("marked_lines", MARKED_LINES), ("marked_bare", MARKED_BARE)],
+)
+def clean_markdown_texts(ds):
+    """Every whole document text, marked up, cleaned."""
+    return scans.clean_markdown(ds.sql(MARKED_TEXTS))
+
+
 @query(
     "text_usable",
     """SELECT doc_id, length(trim(text)) >= 100 AND len(ls) >= 4 AND len(list_distinct(ls)) / len(ls) >= 0.35
@@ -538,3 +574,32 @@ UPLOADS = """SELECT doc_id, 'scan-' || CAST(doc_id AS VARCHAR(20)) AS path, CASE
 def image_intake_audit(ds):
     rows = ds.sql(UPLOADS).withColumn("content", F.unhex("head"))
     return files.image_intake_audit(rows.withColumn("length", F.length("content").cast("bigint"))).select("path", "verdict")
+
+
+MAGIC = "CASE doc_id % 5 WHEN 0 THEN 'FFD8FFE0' WHEN 1 THEN '89504E47' WHEN 2 THEN '47494638' WHEN 3 THEN 'FF' ELSE '' END"
+# A file over the limit, made of the first document's text.
+TIMES = f"CAST(ceil({files.MAX_IMAGE_BYTES}.0 / (octet_length(%s) + 1)) AS INT)"
+FILE_BYTES = f"""SELECT 'scan-' || CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text)) + length({MAGIC}) // 2 AS length, left({MAGIC} || hex(encode(left(text, 4))), 8) AS head FROM documents
+ UNION ALL SELECT 'scan-large', 4 + (octet_length(encode(text)) + 1) * {TIMES % "encode(text)"}, 'FFD8FFE0' FROM documents WHERE doc_id = (SELECT MIN(doc_id) FROM documents)
+ UNION ALL SELECT 'scan-empty', 0, '' UNION ALL SELECT 'scan-small', 3, 'FFD8FF'"""
+
+
+@query(
+    "image_intake_texts",
+    f"""SELECT path, CAST(length AS BIGINT) AS length, CASE WHEN length = 0 THEN 'empty_file' WHEN length < 4 THEN 'file_too_small' WHEN left(head, 4) <> 'FFD8' AND head <> '89504E47' THEN 'unsupported_type'
+ WHEN length > {files.MAX_IMAGE_BYTES} THEN 'file_too_large' ELSE 'ok' END AS verdict FROM file_bytes""",
+    [],
+    [("file_bytes", FILE_BYTES)],
+)
+def image_intake_texts(ds):
+    """Files of every whole document text behind a magic number, and a large, an empty and a short one."""
+    docs = ds.table("documents").select("doc_id", "text")
+    path = F.concat(F.lit("scan-"), F.col("doc_id").cast("string"))
+    whole = docs.select(path.alias("path"), F.concat(F.unhex(F.expr(MAGIC)), F.encode("text", "utf-8")).alias("content"))
+    large = docs.filter("text IS NOT NULL").orderBy("doc_id").limit(1).select(
+        F.lit("scan-large").alias("path"),
+        F.concat(F.unhex(F.lit("FFD8FFE0")), F.encode(F.expr(f"repeat(concat(text, 'x'), {TIMES % 'text'})"), "utf-8")).alias("content"),
+    )
+    others = ds.spark.range(2).selectExpr("IF(id = 0, 'scan-empty', 'scan-small') AS path", "unhex(IF(id = 0, '', 'FFD8FF')) AS content")
+    uploads = whole.unionByName(large).unionByName(others)
+    return files.image_intake_audit(uploads.withColumn("length", F.length("content").cast("bigint")))
