@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -148,3 +149,21 @@ def test_format_is_the_documented_one(spark):
     assert chat.formatted == "<<SYS>> s <</SYS>>[INST] u[.1] [/INST]a<.b </s>[ROLE] tool [/ROLE] t </s>"
     assert [tuple(s) for s in chat.loss_spans] == [(chat.formatted.index("a<.b"), 4)]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_very_long_turns_stay_whole(spark):
+    long = "a<" * 10_500_000
+    records = spark.createDataFrame(
+        [(1, '{"turns":[{"role":"assistant","text":"%s"}]}' % long), (2, '{"prompt":"%s","response":"b"}' % long)], "conv_id long, record string"
+    )
+    turns = canonical_turns(records)
+    chats = read_chats(format_chats(turns)).select(
+        "conv_id", F.transform("turns", lambda t: F.struct(t["role"], F.char_length(t["text"]), F.crc32(t["text"]))).alias("turns"),
+        F.transform("loss_texts", F.char_length).alias("loss"),
+    )
+    crc = zlib.crc32(long.encode())
+    got = {r.conv_id: ([tuple(t) for t in r.turns], r.loss) for r in chats.collect()}
+    assert got == {
+        1: ([("assistant", 21_000_000, crc)], [21_000_000]),
+        2: ([("user", 21_000_000, crc), ("assistant", 1, zlib.crc32(b"b"))], [1]),
+    }

@@ -31,11 +31,12 @@ ROLE_OPEN, ROLE_CLOSE = "[ROLE] ", " [/ROLE] "
 MARKER_END = r"(?<=\[/INST\]|</s>|<</SYS>>)"
 TURN = "struct<role:string,text:string>"
 
-#: Layout -> its field paths, and (role, text) pairs of single turns or (list, role field, text field).
+#: Layout -> its field paths, and (role, text) pairs of fixed turns, (list, role field, text field), or one turn's (role field, text field).
 LAYOUTS: dict[str, dict] = {
     "messages": {"paths": ["messages[0].role", "messages[0].content"], "list": ("messages", "role", "content")},
     "shared": {"paths": ["conversations[0].from", "conversations[0].value"], "list": ("conversations", "from", "value"), "rename": True},
     "turns": {"paths": ["turns[0].role", "turns[0].text"], "list": ("turns", "role", "text")},
+    "single": {"paths": ["role", "content"], "one": ("role", "content")},
     "completion": {"paths": ["prompt", "completion"], "turns": [("user", "prompt"), ("assistant", "completion")]},
     "response": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
     "system_response": {
@@ -50,6 +51,9 @@ LAYOUTS: dict[str, dict] = {
 }
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 PATHS = sorted({p for layout in LAYOUTS.values() for p in layout["paths"]})
+LISTS = sorted({layout["list"][0] for layout in LAYOUTS.values() if "list" in layout})
+#: The JSON reader stops at strings of 20,000,000 characters unless told otherwise.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def fingerprint(paths: Column) -> Column:
@@ -57,9 +61,16 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def present_paths(record: Column) -> Column:
-    """The declared paths that occur in a variant value, sorted; a JSON null counts as present."""
-    found = [F.when(F.try_variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in PATHS]
+def present_paths(fields: Column, lists: dict[str, Column]) -> Column:
+    """The declared paths that occur in a record, sorted; a JSON null counts as present.
+
+    ``fields`` is the record as a map, ``lists`` its list fields as arrays of maps.
+    """
+    found = []
+    for path in PATHS:
+        name, _, inner = path.partition("[0].")
+        there = F.map_contains_key(F.try_element_at(lists[name], F.lit(1)), inner) if inner else F.map_contains_key(fields, name)
+        found.append(F.when(there, F.lit(path)))
     return F.array_compact(F.array(*found))
 
 
@@ -70,20 +81,23 @@ def canonical_role(role: Column) -> Column:
     return out
 
 
-def _mapped(record: Column, layout: dict) -> Column:
+def _mapped(fields: Column, lists: dict[str, Column], layout: dict) -> Column:
     if "list" in layout:
         field, role, text = layout["list"]
-        items = F.try_variant_get(record, f"$.{field}", f"array<struct<`{role}`:string,`{text}`:string>>")
         named = canonical_role if layout.get("rename") else (lambda name: name)
+        value = lambda x, key: F.try_element_at(x, F.lit(key))
         return F.transform(
-            items,
+            lists[field],
             lambda x: F.struct(
-                F.coalesce(named(x[role]), F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")
+                F.coalesce(named(value(x, role)), F.lit("")).alias("role"), F.coalesce(value(x, text), F.lit("")).alias("text")
             ),
         )
+    if "one" in layout:
+        role, text = (F.coalesce(F.try_element_at(fields, F.lit(p)), F.lit("")) for p in layout["one"])
+        return F.array(F.struct(role.alias("role"), text.alias("text")))
 
     def text_of(source) -> Column:
-        parts = [F.try_variant_get(record, f"$.{p}", "string") for p in ([source] if isinstance(source, str) else source)]
+        parts = [F.try_element_at(fields, F.lit(p)) for p in ([source] if isinstance(source, str) else source)]
         return F.array_join(F.filter(F.array_compact(F.array(*parts)), lambda p: p != ""), "\n\n")
 
     return F.array(*[F.struct(F.lit(r).alias("role"), text_of(s).alias("text")) for r, s in layout["turns"]])
@@ -94,18 +108,24 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", payload: str
 
     A record whose fingerprint no mapping has (other fields, broken JSON, null,
     an empty list) gives one row with a null layout, turn, role and text, so
-    that no record vanishes. Other columns are not read; two records with one id
-    stay two records only if the caller gives them different ids.
+    that no record vanishes. Values that are not strings are taken as their JSON
+    text, nulls as empty. Texts of any length are read; a record must fit one
+    string (2 GB). Other columns are not read; two records with one id stay two
+    records only if the caller gives them different ids.
     """
-    value = F.try_parse_json(F.col(payload))
-    marked = records.select(F.col(id_column).alias("conv_id"), value.alias("value")).withColumn(
-        "print", fingerprint(present_paths(F.col("value")))
+    marked = records.select(
+        F.col(id_column).alias("conv_id"), F.from_json(payload, "map<string,string>", ANY_LENGTH).alias("fields")
     )
+    lists = {name: F.col(f"list_{name}") for name in LISTS}
+    marked = marked.select(
+        "*",
+        *[F.from_json(F.try_element_at("fields", F.lit(n)), "array<map<string,string>>", ANY_LENGTH).alias(f"list_{n}") for n in LISTS],
+    ).withColumn("print", fingerprint(present_paths(F.col("fields"), lists)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for name, spec in LAYOUTS.items():
         hit = F.col("print") == fingerprint(F.array(*[F.lit(p) for p in sorted(spec["paths"])]))
         layout = F.when(hit, name).otherwise(layout)
-        turns = F.when(hit, _mapped(F.col("value"), spec)).otherwise(turns)
+        turns = F.when(hit, _mapped(F.col("fields"), lists, spec)).otherwise(turns)
     return (
         marked.select("conv_id", layout.alias("layout"), turns.alias("turns"))
         .select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "item"))
@@ -221,7 +241,8 @@ FROM f GROUP BY conv_id
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and the one that tries to forge turns, formatted and read back.
 
-    Each stored row is one record of the ``turns`` layout; its own turn number is kept.
+    Each stored row is one record; its own turn number is kept. Conversations come
+    in four layouts by turns, as if from four sources, so the fingerprints choose.
     """
     stored = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(
@@ -231,11 +252,24 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = stored.unionByName(forged)
-    item = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    records = rows.select(
-        F.struct("conv_id", "turn").alias("key"), F.to_json(F.struct(F.array(item).alias("turns"))).alias("record")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    shared_role = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    record = (
+        F.when(kind == 0, F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))))
+        # Names that this layout would rename go another way.
+        .when(
+            (kind == 1) & ~role.isin(*ROLE_NAMES),
+            F.to_json(F.struct(F.array(F.struct(shared_role.alias("from"), text.alias("value"))).alias("conversations"))),
+        )
+        .when(kind == 2, F.to_json(F.struct(role.alias("role"), text.alias("content"))))
+        .otherwise(F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("text"))).alias("turns"))))
+    )
+    read_back = canonical_turns(rows.select(F.struct("conv_id", "turn").alias("key"), record.alias("record")), "key")
+    unread = F.raise_error(F.lit("a record of this query was not read back"))
+    turns = read_back.select(
+        "conv_id.conv_id", "conv_id.turn", F.when(F.col("layout").isNull(), unread.cast("string")).otherwise(F.col("role")).alias("role"), "text"
     )
-    turns = canonical_turns(records, "key").select("conv_id.conv_id", "conv_id.turn", "role", "text")
     read = read_chats(format_chats(turns))
     loss = F.array_join("loss_texts", "")
     said = F.array_join(
