@@ -255,3 +255,11 @@ def test_empty_tables(documents):
         assert df.count() == 0
     same = documents([(1, BASE), (1, BASE)])
     assert got(near_duplicates(same), "doc_id", "component_id") == [(1, 1), (1, 1)]
+
+
+def test_spans_of_rows_without_ids(documents):
+    """Texts of one id whose 32-bit checksums are equal keep spans of their own."""
+    a, b = (" ".join(f"{c}{i * 7919 % 997}" for i in range(90)) for c in "ab")
+    one, two = f"{a}plumless{b}", f"{a}buckeroo{b}"
+    for rows in ([(None, one), (None, two), (7, one)], [(3, one), (3, two), (7, one)]):
+        assert got(drop_repeated_bytes(documents(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_spans(rows)

@@ -271,7 +271,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 *batch.columns[3:],
             ],
-            names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", *batch.schema.names[3:]],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", *batch.schema.names[3:]],
         )
 
 
@@ -324,9 +324,11 @@ def drop_repeated_bytes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     empty table gives no rows; columns that are not carried are not read.
     """
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("twin"),
+        # Rows of one id are told apart by a hash of the text; rows without an id by two.
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(NO_ID), "text")).alias("doc"),
+        F.xxhash64("text").alias("twin"),
         "text",
+        F.col("doc_id").cast("long").alias("own_id"),
         *[F.col(c).alias(f"with_{c}") for c in carry],
     )
     runs = repeated_runs(base.select("doc", "twin", "text")).groupBy("doc", "twin").agg(
@@ -336,14 +338,14 @@ def drop_repeated_bytes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     extra = "".join(f", `with_{c}` {kinds[c]}" for c in carry)
     out = (
         base.join(runs, ["doc", "twin"], "left")
-        .select("doc", "text", "runs", *[f"with_{c}" for c in carry])
+        .select("own_id", "text", "runs", *[f"with_{c}" for c in carry])
         .mapInArrow(
             cut,
-            "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string" + extra,
+            "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string" + extra,
         )
     )
     return out.select(
-        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256",
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256",
         *[F.col(f"with_{c}").alias(c) for c in carry],
     )
 
