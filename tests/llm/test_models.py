@@ -167,3 +167,15 @@ def test_very_long_turns_stay_whole(spark):
         1: ([("assistant", 21_000_000, crc)], [21_000_000]),
         2: ([("user", 21_000_000, crc), ("assistant", 1, zlib.crc32(b"b"))], [1]),
     }
+
+
+def test_vectors_of_extreme_lengths(spark):
+    rows = [
+        (1, [1e-170, 2e-170]), (2, [1e-170, 2e-170]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [5e-324, 1e-323]), (6, [1.0, 2.0]),
+        (7, [-1.7e308, 1.7e308]), (8, [-3.0, 3.0]), (9, [0.0, 0.0]), (10, [-0.0, 0.0]),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(table).collect()}
+    assert got == {
+        1: (3, 1), 2: (3, 1), 5: (3, 1), 6: (3, 1), 3: (1, 3), 4: (1, 3), 7: (1, 7), 8: (1, 7), 9: (0, 9), 10: (0, 10),
+    }

@@ -33,6 +33,7 @@ PER_CELL = 1_000
 MAX_CELLS = 4_096
 ROUNDS = 6
 BLOCK = 1_024
+SMALL, LARGE = 1e-100, 1e100
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -143,11 +144,14 @@ def near_duplicate_vectors(
     spark = vectors.sparkSession
     numbers = F.transform("embedding", lambda x: x.cast("double"))
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | F.abs(x.cast("double")).isin(float("inf")))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    valid = F.col("embedding").isNotNull() & ~F.coalesce(broken, F.lit(True)) & (F.coalesce(squares, F.lit(0.0)) > 0)
+    largest = F.array_max(F.transform("embedding", F.abs))
+    valid = F.col("embedding").isNotNull() & ~F.coalesce(broken, F.lit(True)) & (F.coalesce(largest, F.lit(0.0)) > 0)
+    # A cosine does not depend on lengths: vectors whose squares would leave the doubles are divided by their largest number.
+    plain = largest.between(SMALL, LARGE)
+    sized = F.when(plain, F.col("embedding")).otherwise(F.transform("embedding", lambda x: x / F.col("largest")))
     rows = vectors.select("vec_id", numbers.alias("embedding")).select(
         "vec_id", F.when(valid, F.col("embedding")).alias("embedding")
-    ).select(
+    ).withColumn("largest", largest).select("vec_id", sized.alias("embedding")).select(
         "vec_id", "embedding", F.size("embedding").alias("dims"),
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(17), "embedding").alias("h2"),
     )
