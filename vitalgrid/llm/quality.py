@@ -127,11 +127,14 @@ def score_quality(docs: DataFrame, model: RankModel, carry: list[str] = ()) -> D
         for batch in batches:
             score = model.scores(text_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns[2:]],
-                names=["doc_id", "score", "predicted", *batch.schema.names[2:]],
+                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *[batch.column(i) for i in places]],
+                names=["doc_id", "score", "predicted", *[f"with_{c}" for c in carry]],
             )
 
-    base = docs.select("doc_id", F.col("text").alias("scored_text"), *[F.col(c).alias(f"with_{c}") for c in carry])
+    # The text goes to the tasks once, also where it is carried.
+    rest = [c for c in carry if c != "text"]
+    places = [1 if c == "text" else 2 + rest.index(c) for c in carry]
+    base = docs.select("doc_id", F.col("text").alias("scored_text"), *[F.col(c).alias(f"with_{c}") for c in rest])
     extra = "".join(f", `with_{c}` {kinds[c]}" for c in carry)
     out = base.mapInArrow(scored, f"doc_id {kinds['doc_id']}, score double, predicted int{extra}")
     return out.select("doc_id", "score", "predicted", *[F.col(f"with_{c}").alias(c) for c in carry])
