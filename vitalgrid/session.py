@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python tasks hold several copies of a batch (texts, pieces, results): a few MB of rows at a time are enough.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
