@@ -14,7 +14,3 @@ def spark():
     session = local_session("8", shuffle_partitions=4)
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return session
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())

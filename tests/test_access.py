@@ -1,7 +1,7 @@
 """The access matrix and its neighbours."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from vitalgrid.operators import access
 

@@ -3,7 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.asof import last_before, next_event

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import access, alerts, changes, fanout, gateway, series
