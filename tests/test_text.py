@@ -113,9 +113,7 @@ def closest(src, keys):
     return "not_found", src
 
 
-def test_drug_match_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(dictionary, "NAMES_PER_TASK", 20)
-    monkeypatch.setattr(dictionary, "KEYS_PER_TASK", 13)
+def test_drug_match_equals_brute_force(spark):
     rnd = random.Random(7)
     keys = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randrange(4, 16))) for _ in range(150)})
     keys += ["zolpidem", "paracetamol ức"]

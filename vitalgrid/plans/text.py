@@ -539,14 +539,22 @@ def load_drug_dictionary(ds):
     return dictionary.dictionary_entries(ds.sql(DRUGS).withColumnRenamed("drug_name", " Drug_Name "))
 
 
-@query("drug_match")
+# Names of every part in eight spellings; how each is found follows from how it was made. Letters added behind a
+# name of n leave a ratio of 2n / (2n + added): one letter stays above the cutoff, a third of n falls below it.
+ASKED = """SELECT DISTINCT p_name, p_partkey % 8 AS spelling, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' 500mg' WHEN 2 THEN replace(p_name, 'e', 'é') WHEN 3 THEN ' ' || upper(p_name)
+ WHEN 4 THEN p_name || 'q' WHEN 5 THEN p_name || repeat('q', CAST(ceil(length(p_name) / 3.0) AS INT)) WHEN 6 THEN p_type ELSE left(p_name, 2) END AS name FROM part"""
+
+
+@query(
+    "drug_match",
+    """SELECT DISTINCT name, CASE WHEN spelling < 5 THEN p_name ELSE name END AS matched_name, CASE spelling WHEN 1 THEN 'exact_simplified'
+ WHEN 2 THEN CASE WHEN contains(p_name, 'e') THEN 'exact_ascii' ELSE 'exact' END WHEN 4 THEN 'fuzzy' WHEN 5 THEN 'fuzzy_below_cutoff' WHEN 6 THEN 'not_found' WHEN 7 THEN 'name_too_short' ELSE 'exact' END AS name_match_kind FROM asked""",
+    [],
+    [("asked", ASKED)],
+)
 def drug_match(ds):
-    """Names as written, without strengths, with one letter misread, and unrelated ones, against the part names."""
-    names = ds.sql(
-        """SELECT CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' 500mg' WHEN 2 THEN replace(p_name, 'e', 'c') WHEN 3 THEN upper(p_name)
- ELSE p_type END AS name FROM part"""
-    )
-    return dictionary.drug_match(names, entries(ds))
+    """Part names as written, in capitals, with strengths, accents, one or several letters too many, unrelated and short ones."""
+    return dictionary.drug_match(ds.sql(ASKED).select("name"), entries(ds))
 
 
 @query("rescue_dictionary")
