@@ -3,10 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from vitalgrid.functions import intervals
 from vitalgrid.functions.asof import last_before, next_event
+from vitalgrid.functions.intervals import in_force
 from vitalgrid.functions.numbers import two_decimals
 from vitalgrid.functions.skew import first_by, last_by
 from vitalgrid.operators import changes, fanout, gateway, meds
@@ -51,15 +54,39 @@ def replay_limit(events, limit, window):
     return sorted(out)
 
 
-def test_rate_limit_over_block_borders(spark, monkeypatch):
-    monkeypatch.setattr(gateway, "FAN", 2)
-    monkeypatch.setattr(gateway, "WHOLE_HISTORY", 4_000_000_000_000_000)
+@pytest.mark.parametrize("block_rows", [4, 37, 1_000_000])
+def test_rate_limit_over_block_borders(spark, monkeypatch, block_rows):
+    """Key a holds two thirds of all requests; no task's block of it passes the bound."""
+    monkeypatch.setattr(gateway, "BLOCK_ROWS", block_rows)
     rnd = random.Random(3)
     events = [(T0 + timedelta(seconds=rnd.randrange(4000), microseconds=rnd.randrange(10**6)), i, rnd.choice("aab")) for i in range(400)]
     df = spark.createDataFrame([(i, k, None, "x", ts) for ts, i, k in events], "event_id bigint, sub string, api_key string, ip string, ts timestamp")
-    monkeypatch.setattr(gateway, "FAN", 64)
     got = gateway.rate_limit(df, limit=3, window=20).select("event_id", "n", "remaining", "blocked")
     assert rows(got) == replay_limit(events, 3, 20)
+    slots = df.groupBy(F.col("sub").alias("key"), F.floor(F.unix_seconds("ts") / 20).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = gateway._grouped(slots, "slot", "block").join(slots, ["key", "slot"]).groupBy("key", "block").agg(F.sum(F.least("n", F.lit(block_rows // 2))).alias("n"))
+    assert all(r.n < 1.5 * block_rows for r in blocks.collect())
+
+
+def test_points_in_intervals(spark):
+    rnd = random.Random(8)
+    spread = [10**6, 10**9, 10**12, 10**14]
+    at = lambda: T0 + timedelta(microseconds=rnd.randrange(-1, 2) * rnd.randrange(rnd.choice(spread)))
+    points = [(i, rnd.choice("ab"), at()) for i in range(120)] + [(900, "a", None), (901, None, T0), (902, "z", T0), (903, "a", datetime(1600, 1, 1)), (904, "a", datetime(2400, 1, 1))]
+    spans = [(i, rnd.choice("ab"), at(), rnd.choice([None, at(), at()])) for i in range(150)]
+    spans += [(900, "a", None, T0), (901, None, T0, None), (902, "a", T0, T0), (903, "a", datetime(1500, 1, 1), datetime(1700, 1, 1)), (904, "a", datetime(2300, 1, 1), None)]
+    spans += [(905, "a", points[0][2], points[0][2] + timedelta(microseconds=1)), (905, "a", points[0][2], points[0][2] + timedelta(microseconds=1))]
+    want = sorted(
+        (p, k, t, s) for p, k, t in points for s, kk, a, b in spans
+        if k is not None and k == kk and t is not None and a is not None and a <= t and (b is None or t < b)
+    )
+    left = spark.createDataFrame(points, "p int, k string, t timestamp")
+    right = spark.createDataFrame(spans, "s int, k string, a timestamp, b timestamp")
+    assert sorted(tuple(r) for r in in_force(left, right, ["k"], "t", "a", "b").select("p", "k", "t", "s").collect()) == want
+    assert in_force(left, right.limit(0), ["k"], "t", "a", "b").collect() == []
+    # A hundred years are a few blocks, not one row a day.
+    century = spark.range(1).select(intervals.cell(F.lit(T0)).alias("x"), intervals.cell(F.lit(T0 + timedelta(days=36_500))).alias("y"))
+    assert century.select(F.size(intervals._blocks("x", "y"))).first()[0] <= 2 * intervals.LEVELS
 
 
 def test_toggle_takes_replay(spark):

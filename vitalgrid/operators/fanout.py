@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.asof import next_event
+from vitalgrid.functions.intervals import in_force
 
 KEY = ["client_id", "target_user_id", "metric_type", "group_id"]
 # Control events are numbered; buckets of this many keep the next-event windows short.
@@ -80,50 +81,29 @@ def broadcast_fanout(readings: DataFrame, subscriptions: DataFrame, watchers: Da
     return readings.withColumnRenamed("user_id", "target_user_id").join(live, ["target_user_id", "metric_type"])
 
 
-def _by_day(intervals: DataFrame, last_day) -> DataFrame:
-    """One row per interval and day it touches, up to the last day there is data for."""
-    until = F.least(F.coalesce(F.to_date("to_ts"), last_day), last_day)
-    return intervals.filter(F.to_date("from_ts") <= until).withColumn(
-        "day", F.explode(F.sequence(F.to_date("from_ts"), until))
-    )
-
-
-def _in_force():
-    return (F.col("from_ts") <= F.col("time")) & (F.col("to_ts").isNull() | (F.col("time") < F.col("to_ts")))
-
-
 def broadcast_as_of(
     readings: DataFrame, subscription_spans: DataFrame, permission_spans: DataFrame, key: str
 ) -> DataFrame:
     """Replay: deliveries under the subscriptions and permissions in force at each reading's time.
 
-    Both interval tables are spread over days and joined on the day as well, so
-    a reading meets only intervals live on its day. ``key`` names the reading's
-    unique column; permission_spans: owner_id, metric_type, watcher_id, group_id, from_ts, to_ts.
+    Both interval tables are covered by dyadic blocks of time, so a span costs a
+    few rows however long it is and a reading meets only spans of its own blocks.
+    ``key`` names the reading's unique column; permission_spans: owner_id,
+    metric_type, watcher_id, group_id, from_ts, to_ts.
     """
-    dated = readings.withColumn("day", F.to_date("time")).withColumnRenamed("user_id", "target_user_id")
-    last_day = dated.agg(F.max("day")).scalar()
-    subs = _by_day(subscription_spans, last_day)
-    subscribed = (
-        dated.join(subs, ["target_user_id", "metric_type", "day"])
-        .filter(_in_force())
-        .drop("from_ts", "to_ts")
-    )
-    rights = _by_day(
-        permission_spans.select(
-            F.col("owner_id").alias("target_user_id"),
-            "metric_type",
-            F.col("watcher_id").alias("viewer_id"),
-            F.explode(F.array(F.col("group_id").cast("string"), F.lit(""))).alias("group_id"),
-            "from_ts",
-            "to_ts",
-        ),
-        last_day,
+    timed = readings.withColumnRenamed("user_id", "target_user_id")
+    subscribed = in_force(timed, subscription_spans, ["target_user_id", "metric_type"], "time", "from_ts", "to_ts")
+    rights = permission_spans.select(
+        F.col("owner_id").alias("target_user_id"),
+        "metric_type",
+        F.col("watcher_id").alias("viewer_id"),
+        F.explode(F.array(F.col("group_id").cast("string"), F.lit(""))).alias("group_id"),
+        "from_ts",
+        "to_ts",
     )
-    on = ["target_user_id", "metric_type", "viewer_id", "group_id", "day"]
+    on = ["target_user_id", "metric_type", "viewer_id", "group_id"]
     return (
-        subscribed.join(rights, on)
-        .filter(_in_force())
+        in_force(subscribed, rights.distinct(), on, "time", "from_ts", "to_ts")
         .select(key, "target_user_id", "metric_type", "client_id", "viewer_id", "group_id")
         .distinct()
     )

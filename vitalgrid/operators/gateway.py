@@ -12,10 +12,8 @@ from vitalgrid.session import cut_lineage
 # Histogram bounds in seconds. Fixed values.
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
-# A block spans this many limiter windows, a level joins this many blocks.
-FAN = 128
-# Blocks this wide (126 years in microseconds) hold any history as a whole.
-WHOLE_HISTORY = 4_000_000_000_000_000
+# Rows of a key that one task takes at a time.
+BLOCK_ROWS = 1_000_000
 
 
 def request_stats(requests: DataFrame) -> DataFrame:
@@ -59,11 +57,11 @@ def _summarise(window: int):
     up to there, and the first after, can be entered.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry")
         entry = pdf["entry"].to_numpy()
         leave = _follow(entry, pdf["leave"].to_numpy())
-        start = key[1] * int(pdf["span"].iloc[0])
+        start = int(entry[0]) // window * window
         keep = min(len(entry), int(np.searchsorted(entry, start + window, side="left")) + 1)
         entry, leave = entry[:keep], leave[:keep]
         # of neighbours with one exit the last stands for all
@@ -73,7 +71,7 @@ def _summarise(window: int):
     return run
 
 
-def _carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _carry(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Hand the expiry through the blocks of a group, in order, beginning with the group's own carry."""
     pdf = pdf.sort_values("entry")
     expiry = int(pdf["carry"].iloc[0])
@@ -89,7 +87,7 @@ def _carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _openings(window: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["entry"].to_numpy())
         expiry = int(pdf["carry"].iloc[0])
         opened = []
@@ -102,49 +100,53 @@ def _openings(window: int):
     return run
 
 
+def _grouped(counts: DataFrame, unit: str, out: str) -> DataFrame:
+    """(key, unit, n) -> (key, unit, out): neighbouring units of a key in groups of about ``BLOCK_ROWS`` rows.
+
+    A unit counts for half of ``BLOCK_ROWS`` at most, so a group always takes in
+    two; it holds less than one and a half times ``BLOCK_ROWS`` rows, unless
+    single units are larger than half of it (at most three in a group).
+    """
+    before = Window.partitionBy("key").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.least("n", F.lit(max(1, BLOCK_ROWS // 2)))
+    return counts.withColumn("weight", weight).select(
+        "key", unit, F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / BLOCK_ROWS).cast("bigint").alias(out)
+    )
+
+
 def window_openings(times: DataFrame, window: int) -> DataFrame:
     """Start of every limiter window: (key, opened), both from (key, entry) in microseconds.
 
     A window opens at the first request at or after the previous one's expiry,
-    which chains a key's whole history. The chain is cut into time blocks: a
-    block maps an incoming expiry to an outgoing one, and that map is small.
-    Maps are joined level by level up to the whole history and expiries handed
-    down again, so no task holds more than one block of a key.
+    which chains a key's whole history. The chain is cut into blocks of
+    neighbouring requests; the borders come from counts per window length, so a
+    block has about ``BLOCK_ROWS`` requests however busy the key is. A block maps
+    an incoming expiry to an outgoing one. Maps are joined, again in groups cut
+    by their counts, until a key has one, and expiries handed down again.
     """
-    span = window * FAN
-    block = lambda width: F.floor(F.col("entry") / F.lit(width)).cast("bigint")
     map_schema = "key string, block bigint, entry bigint, leave bigint"
     carry_schema = "key string, block bigint, carry bigint"
-    base = times.distinct().withColumn("block", block(span))
-    levels = []
+    slotted = times.distinct().withColumn("slot", F.floor(F.col("entry") / F.lit(window)).cast("bigint"))
+    borders = cut_lineage(_grouped(slotted.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("n")), "slot", "block"))
+    base = cut_lineage(slotted.join(borders, ["key", "slot"]).drop("slot"))
+    parents: list[DataFrame] = []
+    maps: list[DataFrame] = []
     rows = base.withColumn("leave", F.col("entry") + F.lit(window))
-    width = span
-    while not levels or levels[-1][1] < WHOLE_HISTORY:
-        maps = (
-            rows.select("key", "block", "entry", "leave")
-            .withColumn("span", F.lit(width))
-            .groupBy("key", "block")
-            .applyInPandas(_summarise(window), map_schema)
-        )
-        # the first level is the only large one and is read by every pass below
-        levels.append((maps if levels else cut_lineage(maps), width))
-        width *= FAN
-        rows = maps.withColumn("block", block(width))
-    # top: one block per key, nothing carried in
-    top, _ = levels[-1]
-    carries = (
-        top.withColumn("carry", F.lit(-(2**62)))
-        .groupBy("key")
-        .applyInPandas(lambda key, pdf: _carry(key, pdf), carry_schema)
-    )
-    for level in range(len(levels) - 2, -1, -1):
-        maps, _ = levels[level]
-        parent = levels[level + 1][1]
-        up = maps.withColumn("parent", block(parent))
+    most = borders.agg(F.max("block")).first()[0]
+    while most:
+        maps.append(cut_lineage(rows.groupBy("key", "block").applyInPandas(_summarise(window), map_schema)))
+        sizes = maps[-1].groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"))
+        parents.append(cut_lineage(_grouped(sizes, "block", "parent")))
+        rows = maps[-1].join(parents[-1], ["key", "block"]).select("key", F.col("parent").alias("block"), "entry", "leave")
+        most = parents[-1].agg(F.max("parent")).first()[0]
+    # At the top a key has one block, and nothing is carried in.
+    carries = base.select("key").distinct().select("key", F.lit(0).cast("bigint").alias("block"), F.lit(-(2**62)).alias("carry"))
+    for table, parent in zip(reversed(maps), reversed(parents), strict=True):
         carries = (
-            up.join(carries.withColumnRenamed("block", "parent"), ["key", "parent"])
+            table.join(parent, ["key", "block"])
+            .join(carries.withColumnRenamed("block", "parent"), ["key", "parent"])
             .groupBy("key", "parent")
-            .applyInPandas(lambda key, pdf: _carry(key, pdf), carry_schema)
+            .applyInPandas(_carry, carry_schema)
         )
     return base.join(carries, ["key", "block"]).groupBy("key", "block").applyInPandas(
         _openings(window), "key string, opened bigint"
