@@ -1,6 +1,6 @@
 """Points in intervals as equi joins: a dyadic index over time.
 
-Time is cut into cells of 2**32 microseconds (72 minutes). An interval's cells
+Time is cut into cells of 2**36 microseconds (19 hours). An interval's cells
 are covered by blocks of 1, 2, 4, ... cells, each aligned to its size: at most
 two of a size, so a span of n cells takes 2 log n rows whatever its length, and
 an open end costs no more. A point lies in one block of each size and in one
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from vitalgrid.session import cut_lineage
 
-CELL_BITS = 32
+CELL_BITS = 36
 #: Cells from 1684 to 2255; times beyond fall into the first or last one, and the exact comparison parts them.
-LEVELS = 22
+LEVELS = 18
 
 
 def cell(time: Column) -> Column:
