@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.asof import last_before
 from vitalgrid.functions.skew import first_by, last_by
 from vitalgrid.schemas import ACCESS_CONTROL
+from vitalgrid.session import cut_lineage
 
 SEQ_BUCKET = 100_000
 BEFORE_ALL = -(2**62)
@@ -26,6 +27,8 @@ def apply_permission_changes(
     rows, as does an empty one. Global changes are therefore resolved first,
     then looked up as of each viewer change.
     """
+    # read by every step below
+    perms, members, changes = cut_lineage(perms), cut_lineage(members), cut_lineage(changes)
     # the catalog bounds this array
     valid = F.array_distinct(metric_types.agg(F.collect_set("name")).scalar())
     states = members.select("group_id", "user_id", "status")
@@ -46,6 +49,7 @@ def apply_permission_changes(
         )
         .drop("status")
     )
+    judged = cut_lineage(judged)
     effective = judged.filter(F.col("verdict") == "ok")
     global_flags = _global_events(perms, effective.filter(is_global), valid)
 
@@ -131,6 +135,8 @@ def cascade_delete(
     group needs the owner and no other member. A member that other sharers
     name as viewer is held back by the foreign key (blocked_fk).
     """
+    # every input is judged by and cut again below
+    groups, members, perms = cut_lineage(groups), cut_lineage(members), cut_lineage(perms)
     owners = groups.select(F.col("id").alias("group_id"), "owner_id")
     counts = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
     known = members.select("group_id", "user_id", F.lit(True).alias("is_member"))
@@ -160,6 +166,7 @@ def cascade_delete(
             .otherwise("deleted"),
         )
     )
+    judged = cut_lineage(judged)
     done = judged.filter(F.col("verdict") == "deleted")
     gone_groups = done.filter(F.col("kind") == "group").select("group_id").distinct()
     gone_members = done.filter(F.col("kind") != "group").select(*SCOPE).distinct()

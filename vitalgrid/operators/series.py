@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.access import check_access
+from vitalgrid.session import cut_lineage
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -113,7 +114,8 @@ def chart_buckets(
         .filter(F.col("verdict") == "allowed")
         .withColumnRenamed("target_id", "user_id")
     )
-    allowed = planned.join(verdicts, ["observer_id", "user_id", "metric_type"], "left_semi")
+    # Read for the windows and again for the answers: judged once.
+    allowed = cut_lineage(planned.join(verdicts, ["observer_id", "user_id", "metric_type"], "left_semi"))
     keys = ["user_id", "metric_type", "start_time", "end_time", "bucket"]
     points = aggregate_windows(readings, metric_types, allowed.select(*keys).distinct())
     return allowed.select("request_id", *keys).join(points, keys).select(
