@@ -17,7 +17,7 @@ HEADLINE = [
     "alert_fanout", "ingest_readings", "store_readings", "broadcast_fanout", "subscription_state", "rate_limit",
     "request_stats", "due_reminders", "missed_reminders", "toggle_takes", "medications_nested",
     "apply_permission_changes", "membership_state", "extract_fields", "parse_numbered_items", "surface_names",
-    "scrub_pii", "drug_match",
+    "scrub_pii", "drug_match", "broadcast_as_of",
 ]
 
 
