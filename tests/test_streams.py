@@ -59,8 +59,7 @@ def test_chart_alerts_and_broadcast(spark, tmp_path):
     rounded = lambda df: rows(df.withColumn("value", F.round("value", 6)))
     want = series.read_rollup(series.rollup_deltas(readings), ds.view("v_metric_types"))
     assert rounded(streams.read_chart(spark, str(tmp_path / "roll"), ds.view("v_metric_types"))) == rounded(want)
-    streams.compact_chart(spark, str(tmp_path / "roll"), str(tmp_path / "roll2"))
-    assert rounded(streams.read_chart(spark, str(tmp_path / "roll2"), ds.view("v_metric_types"))) == rounded(want)
+    assert streams.batches_done(spark, str(tmp_path / "roll")) == 3
 
     tables = {
         "metric_types": "v_metric_types", "thresholds": "v_thresholds", "permissions": "v_sharing_permissions",
@@ -81,6 +80,64 @@ def test_chart_alerts_and_broadcast(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select(cols)) == rows(want)
 
 
+def test_chart_compaction(spark, tmp_path):
+    """Ten batches, three to a level: what is read stays whole and small, and retried batches change nothing."""
+    roll = str(tmp_path / "roll")
+    types = spark.createDataFrame([("spo2", "SUM")], "name string, agg string")
+    total = lambda: rows(streams.read_chart(spark, roll, types, 3).filter("bucket = '1 day'").select("value"))
+    at = "2024-01-01 10:00:00"
+    batch = lambda i: spark.createDataFrame([(1, "spo2", float(2**i), at)], "user_id bigint, metric_type string, value double, time string").select(
+        "user_id", "metric_type", "value", F.to_timestamp("time").alias("time")
+    )
+    assert streams.read_chart(spark, roll, types, 3).count() == 0
+    for i in range(10):
+        streams.chart_batch(batch(i), i, roll, 3)
+        if i == 8:
+            streams.chart_batch(batch(i), i, roll, 3)  # retried after its mark
+            # a later batch that failed before its mark is not read, and is replaced
+            batch(3).write.parquet(f"{roll}/level=0/upto=10")
+        assert total() == rows(spark.createDataFrame([(float(2 ** (i + 1) - 1),)], "value double"))
+    assert streams.live_folders(10, 3) == ["level=0/upto=10", "level=2/upto=9"]
+    assert all(len(streams.live_folders(n, 8)) <= 7 * 5 for n in range(8**4, 8**4 + 3000))
+    covered = lambda n: sum(3 ** int(f[6:f.index("/")]) for f in streams.live_folders(n, 3))
+    assert all(covered(n) == n for n in range(200))
+
+
+def test_publish_survives_a_half_written_batch(spark, tmp_path):
+    """Files that no commit names are not read; a resumed stream adds each reading once."""
+    src, out, ck = (str(tmp_path / d) for d in ("in", "out", "ck"))
+    schema = "user_id bigint, metric_type string, value double, time timestamp"
+    one = lambda u: spark.sql(f"SELECT {u}L AS user_id, 'spo2' AS metric_type, 1D AS value, TIMESTAMP '2024-01-01 00:00:00' AS time")
+    publish = lambda: run(streams.stream_publish(spark.readStream.schema(schema).parquet(src), out, ck))
+    one(1).write.parquet(src)
+    publish()
+    one(9).select(F.lit("9").alias("key"), F.lit("{}").alias("value")).write.mode("append").parquet(str(tmp_path / "stray"))
+    for f in (tmp_path / "stray").glob("*.parquet"):
+        (tmp_path / "out" / f.name).write_bytes(f.read_bytes())
+    one(2).write.mode("append").parquet(src)
+    publish()
+    publish()
+    assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["1", "2"]
+
+
+def test_stored_slices_are_even(spark, tmp_path):
+    """A day of 40,000 readings, most of them one user's, beside a day of three."""
+    frame = spark.range(40_003).select(
+        F.when(F.col("id") % 10 < 8, "1").otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.lit("spo2").alias("metric_type"), F.lit(1.0).alias("value"),
+        F.timestamp_seconds(F.when(F.col("id") < 40_000, 0).otherwise(86_400) + F.col("id")).alias("time"),
+    )
+    frame = frame.withColumn("date", F.to_date("time"))
+    sizes = {}
+    for r in source.sliced(frame, 4_000).groupBy("date", "slice").count().collect():
+        sizes.setdefault(str(r["date"]), []).append(r["count"])
+    busy, quiet = sizes["1970-01-01"], sizes["1970-01-02"]
+    assert len(busy) == 10 and max(busy) < 2 * min(busy) and quiet == [3]
+    source.store_readings(frame, str(tmp_path / "s"), per_slice=4_000)
+    assert len(list((tmp_path / "s/metric_type=spo2/date=1970-01-01").glob("slice=*/*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 40_003
+
+
 def test_state_machines_equal_batch(spark, tmp_path):
     ds = Dataset(spark, SF)
     # pending timers would keep an availableNow query running empty batches for ever

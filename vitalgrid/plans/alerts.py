@@ -1,10 +1,13 @@
 """Queries: messages in, thresholds, alerts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import access, alerts
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.sharing import RULE_STEPS, WATCHERS
+from vitalgrid.session import checkpoint_dir, cut_lineage
 from vitalgrid.sources import readings as source
 from vitalgrid.sources.tables import as_instants
 
@@ -161,9 +164,14 @@ def ingest_readings(ds):
     [("raw", RAW), ("decoded", DECODED), ("old", "SELECT * FROM decoded WHERE reason IS NULL AND seq % 10 = 3")],
 )
 def store_readings(ds):
-    good = source.good_rows(decoded(ds))
-    stored = good.filter(F.col("seq") % 10 == 3).withColumn("date", F.to_date("time"))
-    return source.new_readings(good, stored).select("user_id", "metric_type", "value", "time")
+    """Readings stored in two writes and read back: those of the second write, in files of at most some 500 rows."""
+    root = f"{checkpoint_dir(ds.spark).rstrip('/')}/readings-{uuid.uuid4().hex}"
+    good = cut_lineage(source.good_rows(decoded(ds)))
+    source.store_readings(source.new_readings(good.filter(F.col("seq") % 10 == 3)), f"{root}/batch_id=0", per_slice=500)
+    stored = ds.spark.read.option("basePath", root).parquet(root)
+    source.store_readings(source.new_readings(good, stored), f"{root}/batch_id=1", per_slice=500)
+    back = ds.spark.read.option("basePath", root).parquet(root).filter(F.col("batch_id") == 1)
+    return back.select("user_id", "metric_type", "value", "time")
 
 
 @query(
@@ -173,8 +181,11 @@ def store_readings(ds):
 )
 def publish_readings(ds):
     """Published messages read back, so the JSON text itself need not match another engine's."""
-    out = source.publish_readings(ds.view("v_readings"))
-    back = source.decode_readings(out.withColumnRenamed("value", "message"))
+    return read_published(source.publish_readings(ds.view("v_readings")))
+
+
+def read_published(messages):
+    back = source.decode_readings(messages.withColumnRenamed("value", "message"))
     return back.select(
         "key", F.coalesce("reason", F.lit("reading")).alias("kind"), "user_id", "metric_type",
         F.col("value").alias("number"), "time",

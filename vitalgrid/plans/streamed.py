@@ -17,9 +17,9 @@ def _folder(ds) -> str:
 
 
 def _readings(ds, root):
-    """Readings as a stream of files, two per batch."""
+    """Readings as a stream of files, written as the engine cuts them, two per batch."""
     rows = ds.view("v_readings")
-    rows.repartition(4).write.parquet(f"{root}/in")
+    rows.write.parquet(f"{root}/in")
     return ds.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
 
 
@@ -41,13 +41,13 @@ def _tables(ds):
 
 @query("stream_ingest", f"SELECT CAST(user_id AS VARCHAR) AS user_id, metric_type, value, time FROM ({alerts.DECODED}) d WHERE reason IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY metric_type, user_id, time ORDER BY seq) = 1", alerts.VIEWS, [("raw", alerts.RAW)])
 def stream_ingest(ds):
-    """Messages in two files, in order of seq, so that the earlier file holds the earlier messages."""
+    """Messages in two folders, the second filled after the first is read: the earlier one holds the earlier messages."""
     root = _folder(ds)
     raw = ds.sql(alerts.RAW, ["v_readings"])
     half = raw.agg(F.expr("percentile_approx(seq, 0.5)")).scalar()
     for part, keep in enumerate((F.col("seq") <= half, F.col("seq") > half)):
-        raw.filter(keep).coalesce(1).write.json(f"{root}/in/part={part}")
-        stream = streams.message_stream(ds.spark, f"{root}/in/*", 1)
+        raw.filter(keep).write.json(f"{root}/in/part={part}")
+        stream = streams.message_stream(ds.spark, f"{root}/in/*")
         _wait(
             streams.stream_ingest(
                 stream, f"{root}/store", f"{root}/bad", lambda: ds.view("v_metric_types"), lambda: ds.view("v_users"), f"{root}/ck"
@@ -68,12 +68,29 @@ def stream_alerts(ds):
 
 @query("stream_chart", ORACLES["chart_rollup"])
 def stream_chart(ds):
+    """Readings of six periods, one batch each: two levels of compaction with three batches a level."""
     root = _folder(ds)
-    _wait(streams.stream_chart(_readings(ds, root), f"{root}/rollup", f"{root}/ck"))
-    out = streams.read_chart(ds.spark, f"{root}/rollup", ds.view("v_metric_types"))
+    rows = ds.view("v_readings")
+    rows.withColumn("period", F.col("event_id") % 6).write.partitionBy("period").parquet(f"{root}/in")
+    for period in range(6):
+        stream = ds.spark.readStream.schema(rows.schema).parquet(f"{root}/in/period=[0-{period}]")
+        _wait(streams.stream_chart(stream, f"{root}/rollup", f"{root}/ck", fan=3))
+    out = streams.read_chart(ds.spark, f"{root}/rollup", ds.view("v_metric_types"), fan=3)
     return out.withColumn("value", F.round("value", 6))
 
 
+@query("stream_publish", ORACLES["publish_readings"])
+def stream_publish(ds):
+    """Messages published by a stream that is stopped after half of the readings and resumed, read back."""
+    root = _folder(ds)
+    rows = ds.view("v_readings")
+    for part in range(2):
+        rows.filter(F.col("event_id") % 2 == part).write.parquet(f"{root}/in/part={part}")
+        stream = ds.spark.readStream.schema(rows.schema).parquet(f"{root}/in/*")
+        _wait(streams.stream_publish(stream, f"{root}/out", f"{root}/ck"))
+    return alerts.read_published(ds.spark.read.parquet(f"{root}/out"))
+
+
 @query("stream_broadcast", ORACLES["broadcast_fanout"])
 def stream_broadcast(ds):
     root = _folder(ds)

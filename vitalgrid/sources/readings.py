@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.skew import first_by
+from vitalgrid.session import cut_lineage
 
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+# About 30 MB of a stored file.
+ROWS_PER_SLICE = 2_000_000
 READING_KEYS = ("user_id", "metric_type", "value", "timestamp")
 
 
@@ -107,13 +110,27 @@ def new_readings(incoming: DataFrame, stored: DataFrame | None = None) -> DataFr
     return first.join(kept, [*keys, "date"], "left_anti")
 
 
-def store_readings(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write readings under metric and day; one task per partition folder and hash slice keeps files few."""
-    slices = F.pmod(F.xxhash64("user_id"), F.lit(8))
+def sliced(rows: DataFrame, per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``rows`` with ``slice``: as many slices per metric and day as the day's count needs, equally filled.
+
+    The counts are one row per metric and day; user and time are hashed, so a
+    user with most of a day's readings is spread over the day's slices.
+    """
+    days = rows.groupBy("metric_type", "date").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("int").alias("__slices"))
+    slot = F.pmod(F.xxhash64("user_id", "time"), F.col("__slices")).cast("int")
+    return rows.join(days, ["metric_type", "date"]).withColumn("slice", slot).drop("__slices")
+
+
+def store_readings(rows: DataFrame, path: str, mode: str = "append", per_slice: int = ROWS_PER_SLICE) -> None:
+    """Write readings under metric, day and slice: a small day is one file, a busy one as many as its readings fill.
+
+    ``rows`` are computed once: their counts and the files are read from a table.
+    """
     (
-        rows.repartition("metric_type", "date", slices)
+        sliced(cut_lineage(rows), per_slice)
+        .repartition("metric_type", "date", "slice")
         .write.mode(mode)
-        .partitionBy("metric_type", "date")
+        .partitionBy("metric_type", "date", "slice")
         .parquet(path)
     )
 

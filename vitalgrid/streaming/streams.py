@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -65,11 +66,11 @@ def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema + ", batch_id bigint")
 
 
-STORED = "seq bigint, user_id string, value double, time timestamp, metric_type string, date date"
+STORED = "seq bigint, user_id string, value double, time timestamp, metric_type string, date date, slice int"
 
 
 def stored_readings(spark: SparkSession, folder: str) -> DataFrame:
-    return read_batches(spark, folder, STORED)
+    return read_batches(spark, folder, STORED).drop("slice")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store: str, bad: str, metric_types: Table, users: Table) -> None:
@@ -117,36 +118,107 @@ def stream_alerts(
     return _start(readings, write, checkpoint, live)
 
 
-def stream_chart(readings: DataFrame, rollup: str, checkpoint: str, live: bool = False) -> StreamingQuery:
-    """(sum, count) deltas per bucket and batch; ``read_chart`` adds them up."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        series.rollup_deltas(batch).write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(rollup, batch_id))
+FAN = 8
+DELTAS = "user_id bigint, metric_type string, bucket_time timestamp, total double, n bigint, bucket string"
 
-    return _start(readings, write, checkpoint, live)
 
+def live_folders(n: int, fan: int = FAN) -> list[str]:
+    """Folders that together hold the first ``n`` batches: at most ``fan - 1`` of every level.
 
-DELTAS = "user_id bigint, metric_type string, bucket_time timestamp, total double, n bigint, bucket string"
+    A folder of level k covers ``fan ** k`` batches and is named by the last of
+    them, so the list follows from the number of batches alone.
+    """
+    out, level, width = [], 0, 1
+    while n >= width:
+        top = n // width
+        out += [f"level={level}/upto={at * width}" for at in range(top - top % fan + 1, top + 1)]
+        level, width = level + 1, width * fan
+    return out
 
 
-def read_chart(spark: SparkSession, rollup: str, metric_types: DataFrame) -> DataFrame:
-    """Current chart values: deltas of all batches merged."""
-    merged = (
-        read_batches(spark, rollup, DELTAS)
+def _is_done(spark: SparkSession, rollup: str, n: int) -> bool:
+    """Whether ``n`` batches are complete: the mark of a batch is written after its folders."""
+    try:
+        return not spark.read.schema("id bigint").parquet(f"{rollup}/done/upto={n}").isEmpty()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+
+
+def batches_done(spark: SparkSession, rollup: str) -> int:
+    """Number of complete batches, by doubling and halving over the marks: their folder is never listed."""
+    high = 1
+    while _is_done(spark, rollup, high):
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if _is_done(spark, rollup, middle) else (low, middle)
+    return low
+
+
+def _summed(spark: SparkSession, rollup: str, folders: list[str]) -> DataFrame:
+    """Deltas of some folders, added up per bucket."""
+    if not folders:
+        return spark.createDataFrame([], DELTAS)
+    paths = [f"{rollup}/{folder}" for folder in folders]
+    return (
+        spark.read.schema(DELTAS).option("basePath", rollup).parquet(*paths)
         .groupBy("user_id", "metric_type", "bucket", "bucket_time")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     )
-    return series.read_rollup(merged, metric_types)
 
 
-def compact_chart(spark: SparkSession, rollup: str, target: str) -> None:
-    """Fold the deltas into one base batch in a new folder, so reads do not slow down with the number of batches."""
-    merged = (
-        read_batches(spark, rollup, DELTAS)
-        .groupBy("user_id", "metric_type", "bucket", "bucket_time")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+def chart_batch(batch: DataFrame, batch_id: int, rollup: str, fan: int = FAN) -> None:
+    """Store the deltas of a batch, fold full levels into the next one, then mark the batch as complete.
+
+    Every delta is rewritten once per level. Folders in use are never written
+    again: a batch that failed before its mark replaces only folders nobody
+    reads yet, and one that is retried after it is left alone.
+    """
+    spark = batch.sparkSession
+    n = batch_id + 1
+    if _is_done(spark, rollup, n):
+        return
+    series.rollup_deltas(batch).write.mode("overwrite").partitionBy("bucket").parquet(f"{rollup}/level=0/upto={n}")
+    level, width = 1, fan
+    while n % width == 0:
+        parts = [f"level={level - 1}/upto={n - i * (width // fan)}" for i in range(fan)]
+        merged = _summed(spark, rollup, parts)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{rollup}/level={level}/upto={n}")
+        level, width = level + 1, width * fan
+    spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(f"{rollup}/done/upto={n}")
+
+
+def stream_chart(
+    readings: DataFrame, rollup: str, checkpoint: str, live: bool = False, fan: int = FAN
+) -> StreamingQuery:
+    """(sum, count) deltas per bucket and batch, compacted as they come; ``read_chart`` adds them up."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        chart_batch(batch, batch_id, rollup, fan)
+
+    return _start(readings, write, checkpoint, live)
+
+
+def read_chart(spark: SparkSession, rollup: str, metric_types: DataFrame, fan: int = FAN) -> DataFrame:
+    """Current chart values: the folders of the complete batches, logarithmic in their number, added up."""
+    folders = live_folders(batches_done(spark, rollup), fan)
+    return series.read_rollup(_summed(spark, rollup, folders), metric_types)
+
+
+def stream_publish(readings: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Published messages (key, value) as files, through the engine's file sink.
+
+    Its commit log names the files of every batch, so readers of the folder see
+    each reading exactly once, also after a batch that was stopped half way.
+    """
+    writer = (
+        source.publish_readings(readings).writeStream.format("parquet").outputMode("append")
+        .option("path", out).option("checkpointLocation", checkpoint)
     )
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(target, -1))
+    return (writer.trigger(processingTime="10 seconds") if live else writer.trigger(availableNow=True)).start()
 
 
 def stream_broadcast(
