@@ -156,3 +156,26 @@ def test_whole_texts_are_cleaned_and_audited(spark, tmp_path):
     ]
     assert audited["scan-3"] == (1, "file_too_small") and audited["scan-4"] == (2, "file_too_small")
     assert audited["scan-empty"][1] == "empty_file" and audited["scan-large"][1] == "file_too_large"
+
+
+def test_dictionary_files_in_small_splits(spark, tmp_path):
+    """Three files with headers of their own, read in splits of 200 bytes: numbers follow files and lines."""
+    from vitalgrid.operators.rx.dictionary import dictionary_rows
+
+    names = [f"name {i:04d}" for i in range(120)]
+    (tmp_path / "a.csv").write_text("\ufefften_thuoc,other\r\n" + "".join(f'"{n}",x\r\n' for n in names[:50]))
+    (tmp_path / "b.csv").write_text('"x, ""y""", NAME \n' + "".join(f'"p, ""q""",{n}\n' for n in names[50:90]))
+    (tmp_path / "c.csv").write_text("label\n" + "unread\n" * 30)
+    (tmp_path / "d.csv").write_text("id,drug_name,thuoc\n1\n" + "".join(f",{n},z\n" for n in names[90:]))
+    (tmp_path / "e.csv").write_text("")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        frame = dictionary_rows(spark, str(tmp_path))
+        got = frame.orderBy("row_no").collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert [r.name for r in got] == names[:90] + [""] + names[90:]
+    assert [r.row_no for r in got] == [*range(90), *range(120, 151)]

@@ -1,10 +1,13 @@
 """Queries: prescription text, scans, privacy."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import rx_fixed as fx
 from vitalgrid.operators.rx import dictionary, items as it, lines as ln, pipeline, post, scans
 from vitalgrid.plans.registry import query
+from vitalgrid.session import checkpoint_dir
 from vitalgrid.sources import files
 
 RX = ["rx_items", "rx_lines", "prescriptions"]
@@ -525,18 +528,29 @@ def entries(ds):
     return dictionary.dictionary_entries(rows)
 
 
-DRUGS = """SELECT p_partkey AS row_no, CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || p_brand || ')' WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN 'ab' ELSE p_name || '-' || CAST(p_size AS VARCHAR(4)) END AS drug_name, p_type AS other FROM part"""
+DRUGS = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || p_brand || ')' WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN 'ab' ELSE p_name || '-' || CAST(p_size AS VARCHAR(4)) || ', "' || p_brand || '"' END AS drug_name, p_type AS other FROM part"""
+# Three tables of parts, one after the other, each with its own name column; the last has none and is left out.
+DRUG_FILES = [("p_partkey % 3 = 0", "\ufeffTen_Thuoc"), ("p_partkey % 3 = 1", " Drug_Name "), ("p_partkey % 3 = 2 AND p_partkey % 2 = 0", "thuoc"), ("p_partkey % 3 = 2 AND p_partkey % 2 = 1", "label")]
 
 
 @query(
     "load_drug_dictionary",
     """SELECT key, ARG_MIN(name, length(name) * 10000000 + row_no) AS name, MIN(row_no) AS ord FROM (SELECT row_no, trim(drug_name) AS name,
- trim(regexp_replace(regexp_replace(lower(trim(drug_name)), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM drugs) WHERE length(name) >= 3 AND length(key) >= 3 GROUP BY key""",
+ trim(regexp_replace(regexp_replace(lower(trim(drug_name)), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key
+ FROM (SELECT drug_name, ROW_NUMBER() OVER (ORDER BY p_partkey % 3, p_partkey) - 1 AS row_no FROM drugs WHERE p_partkey % 3 < 2 OR p_partkey % 2 = 0)) WHERE length(name) >= 3 AND length(key) >= 3 GROUP BY key""",
     [],
     [("drugs", DRUGS)],
 )
 def load_drug_dictionary(ds):
-    return dictionary.dictionary_entries(ds.sql(DRUGS).withColumnRenamed("drug_name", " Drug_Name "))
+    """CSV files of four headers, one of them behind a byte order mark and one unknown, written in order of parts."""
+    root = f"{checkpoint_dir(ds.spark).rstrip('/')}/drugs-{uuid.uuid4().hex}"
+    drugs = ds.sql(DRUGS)
+    for i, (keep, header) in enumerate(DRUG_FILES):
+        # the columns change places from table to table
+        columns = ["other", F.col("drug_name").alias(header)][:: 1 if i % 2 else -1]
+        rows = drugs.filter(keep).orderBy("p_partkey").select(*columns)
+        rows.write.csv(f"{root}/{i}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return dictionary.load_drug_dictionary(ds.spark, f"{root}/*")
 
 
 # Names of every part in eight spellings; how each is found follows from how it was made. Letters added behind a
