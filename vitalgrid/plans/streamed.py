@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import fanout
-from vitalgrid.plans import alerts, live
+from vitalgrid.plans import alerts, live, medication
 from vitalgrid.plans.registry import ORACLES, query
 from vitalgrid.session import checkpoint_dir
 from vitalgrid.streaming import streams
@@ -99,3 +99,36 @@ def stream_broadcast(ds):
     return ds.spark.read.parquet(f"{root}/out").select(
         "event_id", "client_id", "group_id", "viewer_id", "metric_type", "target_user_id", "value"
     )
+
+
+# Ticks of two days; on the second one the marks of the first count no more.
+TICKS = ["1996-03-05 09:20:00", "1996-03-05 13:20:00", "1996-03-05 13:21:00", "1996-03-06 13:20:00"]
+SENT = ["share_id", "reminder_id", "today", "owner_id", "shared_with_user_id", "medication_name", "reminder_time"]
+
+
+def _replay():
+    """The ticks one after the other: what each finds under the marks so far, and the marks after it."""
+    steps, shares = [], "v_shares"
+    for i, tick in enumerate(TICKS):
+        steps.append((f"missed_{i}", medication.MISSED.replace("v_shares", shares).replace(medication.NOW, tick)))
+        steps.append((f"shares_{i}", f"""SELECT s.id, s.medication_id, s.shared_with_user_id, s.notify_offset_minutes, COALESCE(k.reminder_id, s.last_notified_reminder_id) AS last_notified_reminder_id,
+ COALESCE(k.today, s.last_notified_date) AS last_notified_date FROM {shares} s LEFT JOIN (SELECT share_id, MAX(reminder_id) AS reminder_id, MAX(today) AS today FROM missed_{i} GROUP BY share_id) k ON k.share_id = s.id"""))
+        shares = f"shares_{i}"
+    return steps
+
+
+@query(
+    "stream_missed",
+    " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS batch_id, {', '.join(SENT)} FROM missed_{i}" for i in range(len(TICKS))),
+    medication.VIEWS,
+    _replay(),
+)
+def stream_missed(ds):
+    """Missed reminders of four ticks, one batch each; marks of a batch decide what the next ones send."""
+    root = _folder(ds)
+    tables = {k: (lambda v=f"v_{k}": ds.view(v)) for k in ("shares", "medications", "reminders", "users")}
+    for i, tick in enumerate(TICKS):
+        ds.spark.sql(f"SELECT TIMESTAMP '{tick}' AS tick").write.parquet(f"{root}/in/tick={i}")
+        ticks = ds.spark.readStream.schema("tick timestamp").parquet(f"{root}/in/tick=[0-{i}]")
+        _wait(streams.stream_missed(ticks, tables, f"{root}/marks", f"{root}/out", f"{root}/ck", fan=2))
+    return ds.spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").select(F.col("batch_id").cast("bigint").alias("batch_id"), *SENT)

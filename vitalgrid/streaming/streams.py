@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitalgrid.operators import access, alerts, fanout, series
+from vitalgrid.operators import access, alerts, fanout, meds, series
 from vitalgrid.sources import readings as source
 
 Table = Callable[[], DataFrame]
@@ -158,37 +158,43 @@ def batches_done(spark: SparkSession, rollup: str) -> int:
     return low
 
 
-def _summed(spark: SparkSession, rollup: str, folders: list[str]) -> DataFrame:
-    """Deltas of some folders, added up per bucket."""
+def _live(spark: SparkSession, root: str, schema: str, folders: list[str]) -> DataFrame:
     if not folders:
-        return spark.createDataFrame([], DELTAS)
-    paths = [f"{rollup}/{folder}" for folder in folders]
-    return (
-        spark.read.schema(DELTAS).option("basePath", rollup).parquet(*paths)
-        .groupBy("user_id", "metric_type", "bucket", "bucket_time")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    )
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/{folder}" for folder in folders]
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths)
 
 
-def chart_batch(batch: DataFrame, batch_id: int, rollup: str, fan: int = FAN) -> None:
-    """Store the deltas of a batch, fold full levels into the next one, then mark the batch as complete.
+def _add_batch(
+    delta: DataFrame, n: int, root: str, schema: str, merge: Callable[[DataFrame], DataFrame], fan: int, parts: tuple[str, ...] = ()
+) -> None:
+    """Store the rows of the ``n``-th batch, fold full levels into the next one, then mark the batch as complete.
 
-    Every delta is rewritten once per level. Folders in use are never written
+    Every row is rewritten once per level. Folders in use are never written
     again: a batch that failed before its mark replaces only folders nobody
-    reads yet, and one that is retried after it is left alone.
+    reads yet, and callers leave one alone that is retried after it.
     """
-    spark = batch.sparkSession
-    n = batch_id + 1
-    if _is_done(spark, rollup, n):
-        return
-    series.rollup_deltas(batch).write.mode("overwrite").partitionBy("bucket").parquet(f"{rollup}/level=0/upto={n}")
+    spark = delta.sparkSession
+    write = lambda df, folder: df.write.mode("overwrite").partitionBy(*parts).parquet(f"{root}/{folder}")
+    write(delta, f"level=0/upto={n}")
     level, width = 1, fan
     while n % width == 0:
-        parts = [f"level={level - 1}/upto={n - i * (width // fan)}" for i in range(fan)]
-        merged = _summed(spark, rollup, parts)
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{rollup}/level={level}/upto={n}")
+        full = [f"level={level - 1}/upto={n - i * (width // fan)}" for i in range(fan)]
+        write(merge(_live(spark, root, schema, full)), f"level={level}/upto={n}")
         level, width = level + 1, width * fan
-    spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(f"{rollup}/done/upto={n}")
+    spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(f"{root}/done/upto={n}")
+
+
+def _summed(deltas: DataFrame) -> DataFrame:
+    """Deltas added up per bucket."""
+    return deltas.groupBy("user_id", "metric_type", "bucket", "bucket_time").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")
+    )
+
+
+def chart_batch(batch: DataFrame, batch_id: int, rollup: str, fan: int = FAN) -> None:
+    if not _is_done(batch.sparkSession, rollup, batch_id + 1):
+        _add_batch(series.rollup_deltas(batch), batch_id + 1, rollup, DELTAS, _summed, fan, ("bucket",))
 
 
 def stream_chart(
@@ -205,7 +211,51 @@ def stream_chart(
 def read_chart(spark: SparkSession, rollup: str, metric_types: DataFrame, fan: int = FAN) -> DataFrame:
     """Current chart values: the folders of the complete batches, logarithmic in their number, added up."""
     folders = live_folders(batches_done(spark, rollup), fan)
-    return series.read_rollup(_summed(spark, rollup, folders), metric_types)
+    return series.read_rollup(_summed(_live(spark, rollup, DELTAS, folders)), metric_types)
+
+
+MARKS = "share_id bigint, reminder_id bigint, today date, batch bigint"
+
+
+def _last_marks(marks: DataFrame) -> DataFrame:
+    """One mark per share: that of the latest batch, and there the highest reminder."""
+    order = F.struct("batch", "reminder_id")
+    return marks.groupBy("share_id").agg(F.max_by(F.struct("reminder_id", "today", "batch"), order).alias("m")).select("share_id", "m.*")
+
+
+def missed_batch(ticks: DataFrame, batch_id: int, tables: dict[str, Table], marks: str, out: str, fan: int = FAN) -> None:
+    """Missed reminders of one tick; the marks of all batches before it decide, and its own decide the next ones.
+
+    A batch of several ticks counts as its last one, as for a scheduler that was
+    away. Marks are kept as versions: those before this batch are the folders of
+    ``batch_id`` batches, also when the batch is tried again.
+    """
+    spark = ticks.sparkSession
+    if _is_done(spark, marks, batch_id + 1):
+        return
+    now = ticks.agg(F.max("tick").cast("string")).first()[0]
+    t = {name: read() for name, read in tables.items()}
+    before = _last_marks(_live(spark, marks, MARKS, live_folders(batch_id, fan)))
+    shares = meds.missed_state(t["shares"], before)
+    sent = meds.missed_reminders(shares, t["medications"], t["reminders"], t["users"], now)
+    sent.write.mode("overwrite").parquet(_batch_path(out, batch_id))
+    told = spark.read.schema(sent.schema).parquet(_batch_path(out, batch_id))
+    delta = _last_marks(told.select("share_id", "reminder_id", "today", F.lit(batch_id).cast("bigint").alias("batch")))
+    _add_batch(delta, batch_id + 1, marks, MARKS, _last_marks, fan)
+
+
+def stream_missed(
+    ticks: DataFrame, tables: dict[str, Table], marks: str, out: str, checkpoint: str, live: bool = False, fan: int = FAN
+) -> StreamingQuery:
+    """Missed reminders per arriving tick, each share told once per reminder and day while its mark stands.
+
+    ``tables``: shares, medications, reminders, users, read anew in every batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        missed_batch(batch, batch_id, tables, marks, out, fan)
+
+    return _start(ticks, write, checkpoint, live)
 
 
 def stream_publish(readings: DataFrame, out: str, checkpoint: str, live: bool = False) -> StreamingQuery:
