@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import rx_fixed as fx
-from vitalgrid.operators.rx import dictionary, items as it, lines as ln, pipeline, post, scans
+from vitalgrid.operators.rx import dictionary, items as it, lines as ln, post, scans
 from vitalgrid.plans.registry import query
 from vitalgrid.session import checkpoint_dir
 from vitalgrid.sources import files
@@ -152,34 +152,6 @@ def parse_numbered_items(ds):
     return out.select("doc_id", "pos", "name", "dosage", "confidence")
 
 
-@query("split_blocks")
-def split_blocks(ds):
-    return ln.split_blocks(ln.normalize_lines(noisy(ds)))
-
-
-@query("split_blocks_eager")
-def split_blocks_eager(ds):
-    return ln.split_blocks_eager(ln.normalize_lines(noisy(ds)))
-
-
-@query("parse_block_items")
-def parse_block_items(ds):
-    """Blocks whose names carry a known fragment, as short unknown ones are no medicine blocks."""
-    known = ds.sql("SELECT doc_id, replace(text, '. ', '. Losartan ') AS text FROM prescriptions", ["prescriptions"])
-    return it.parse_block_items(ln.split_blocks(ln.normalize_lines(known)))
-
-
-@query("parse_relaxed_items")
-def parse_relaxed_items(ds):
-    return it.parse_relaxed_items(ln.normalize_lines(noisy(ds)))
-
-
-@query("parse_tabular_items")
-def parse_tabular_items(ds):
-    table = ds.sql("SELECT doc_id, replace(text, 'mg', 'mg SL: 20') AS text FROM prescriptions", ["prescriptions"])
-    return it.parse_tabular_items(ln.normalize_lines(table))
-
-
 COUNTS = """SELECT o_orderkey AS doc_id, o_orderkey % 4 AS block, o_custkey % 5 AS numbered, o_orderkey % 3 AS head, o_custkey % 7 AS relaxed,
  o_orderkey % 2 = 0 AS reliable, 50 + o_orderkey % 1000 AS n_chars FROM orders"""
 
@@ -571,19 +543,6 @@ def drug_match(ds):
     return dictionary.drug_match(ds.sql(ASKED).select("name"), entries(ds))
 
 
-@query("rescue_dictionary")
-def rescue_dictionary(ds):
-    lines = ln.normalize_lines(noisy(ds))
-    return dictionary.rescue_dictionary(lines, it.parse_head_items(lines).filter(F.col("pos") % 2 == 0), entries(ds))
-
-
-@query("extract_prescriptions")
-def extract_prescriptions(ds):
-    """Items of all rendered prescriptions, end to end, with the part names as dictionary."""
-    items, _ = pipeline.extract_prescriptions(noisy(ds), entries(ds))
-    return items
-
-
 UPLOADS = """SELECT doc_id, 'scan-' || CAST(doc_id AS VARCHAR(20)) AS path, CASE doc_id % 5 WHEN 0 THEN 'FFD8FFE0' WHEN 1 THEN '89504E47' WHEN 2 THEN '47494638' WHEN 3 THEN 'FF' ELSE '' END AS head FROM documents"""
 
 
