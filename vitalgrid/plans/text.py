@@ -37,26 +37,6 @@ def normalize_lines(ds):
     return ln.normalize_lines(noisy(ds))
 
 
-@query(
-    "classify_lines",
-    """SELECT doc_id, line_no, item AS numbered, TRUE AS drug_signal, TRUE AS possible, FALSE AS header, FALSE AS not_medicine, FALSE AS medicine FROM text_lines""",
-    RX,
-    STEPS,
-)
-def classify_lines(ds):
-    return ln.classify_lines(ln.normalize_lines(noisy(ds))).drop("line")
-
-
-@query(
-    "line_groups",
-    "SELECT doc_id, line_no, CAST(rn AS INT) AS group_no, CASE WHEN item THEN no END AS marker FROM text_lines",
-    RX,
-    STEPS,
-)
-def line_groups(ds):
-    return ln.line_groups(ln.normalize_lines(noisy(ds))).select("doc_id", "line_no", "group_no", "marker")
-
-
 @query(
     "marker_sequence",
     """SELECT doc_id, COUNT(*) AS n_markers, COUNT(*) >= 2 AND MIN(no) = 1 AND MAX(no) <= COUNT(*) + 3
@@ -429,17 +409,6 @@ def clean_markdown_texts(ds):
     return scans.clean_markdown(ds.sql(MARKED_TEXTS))
 
 
-@query(
-    "text_usable",
-    """SELECT doc_id, length(trim(text)) >= 100 AND len(ls) >= 4 AND len(list_distinct(ls)) / len(ls) >= 0.35
- AND len(list_filter(ls, lambda s: s LIKE '%viên%' OR regexp_matches(s, '(^|[^0-9A-Za-z_])mg([^0-9A-Za-z_]|$)'))) >= 2 AS usable
-FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM prescriptions)""",
-    RX,
-)
-def text_usable(ds):
-    return scans.text_usable(ds.view("prescriptions"))
-
-
 EDGE = r"(?:[^0-9A-Za-z_À-ỹ]|$)"
 SCRUB_SQL = (
     "CASE WHEN regexp_matches(s, '"
