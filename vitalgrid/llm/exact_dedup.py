@@ -1,16 +1,18 @@
 """Exact duplicates by a tree merge of sorted digest runs. DataFrame functions only.
 
-Every document gets a leaf run from a hash of its id. Level by level, ``fan_in``
-neighbouring runs are merged into one: rows with equal digests meet in a sort
-aggregate, which is a multiway merge of sorted runs, and leave one row with the
-surviving id and the group's size. After the last level one run is left. The
+Every document gets a leaf run from a hash of its id. In each round of a binomial
+tree (``fan_in`` 2; a wider one merges more runs at once) the second run of every
+pair joins the first, which keeps its number, so half of the runs stay where they
+are. The survivor is a struct, which the engine aggregates by sorting: each round
+merges runs sorted by digest, and rows with equal digests leave one row with the
+surviving id and the group's size. After the last round one run is left. The
 survivor then travels back down the same tree, so that no join ever brings all
 copies of one text to one task: a text that a third of all documents share is
 cut into as many pieces as there are leaf runs, and each inner node has at most
 ``fan_in`` children.
 
 Two rows are merged only where SHA-256, byte length and a second, independent
-64-bit hash of the text all agree.
+64-bit hash of the text all agree, which every round compares anew.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def tree_levels(runs: int, fan_in: int) -> int:
     return max(1, math.ceil(math.log(max(runs, 2)) / math.log(fan_in) - 1e-9))
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "max", fan_in: int = 8, runs: int | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "max", fan_in: int = 2, runs: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` names the id
@@ -45,7 +47,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", fan_in: int = 8, runs:
     spark = docs.sparkSession
     levels = tree_levels(runs or shuffle_partitions(spark), fan_in)
     leaf_runs = fan_in**levels
-    best = {"max": F.max, "min": F.min}[keep]
+    # ids before nulls either way; a struct keeps the merge a sorted one
+    best, first = {"max": (F.max, F.isnotnull), "min": (F.min, F.isnull)}[keep]
+    ranked = F.struct(first(F.col("doc_id")), F.col("doc_id").alias("id"))
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     rows = cut_lineage(
         docs.select("doc_id", text.alias("norm")).select(
@@ -56,19 +60,21 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", fan_in: int = 8, runs:
             F.xxhash64("norm").alias("check"),
         )
     )
-    up = [rows.groupBy(*SAME, "run").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
-    for _ in range(levels):
+    sizes = F.count(F.lit(1)).alias("size")
+    up = [rows.withColumn("best", ranked).groupBy(*SAME, "run").agg(best("best").alias("best"), sizes)]
+    receivers = [(F.col("run") - F.col("run") % F.lit(fan_in ** (level + 1))).cast("int") for level in range(levels)]
+    for receiver in receivers:
         up.append(
             up[-1]
-            .withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+            .withColumn("run", receiver)
             .groupBy(*SAME, "run")
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            .agg(best("best").alias("best"), F.sum("size").alias("size"))
         )
-    settled = up[-1]
-    for level in reversed(up[:-1]):
-        child = level.select(*SAME, F.col("run").alias("leaf"), F.floor(F.col("run") / fan_in).cast("int").alias("run"))
+    settled = up[-1].select(*SAME, "run", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"))
+    for level, receiver in zip(reversed(up[:-1]), reversed(receivers), strict=True):
+        child = level.select(*SAME, F.col("run").alias("sender"), receiver.alias("run"))
         settled = child.join(settled, [*SAME, "run"]).select(
-            *SAME, F.col("leaf").alias("run"), "keep_id", "group_size"
+            *SAME, F.col("sender").alias("run"), "keep_id", "group_size"
         )
     return rows.join(settled, [*SAME, "run"]).select(
         "doc_id",
