@@ -1,9 +1,14 @@
 """Queries: model features and outputs, norms, tables."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import scoring
 from vitalgrid.plans.registry import query
+from vitalgrid.session import checkpoint_dir
 from vitalgrid.sources import files
 from vitalgrid.sources.tables import load_tables
 
@@ -106,28 +111,38 @@ def stress_labels(ds):
     [("windows", DUCK_WINDOWS), ("norms", NORMS)],
 )
 def load_norm_stats(ds):
-    """Norms written as one JSON map per subject and read back."""
+    """Norms written as files, one JSON map per subject, and read back."""
     norms = scoring.calibrate_norms(windows(ds))
     texts = norms.groupBy("subject").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std").alias("s")))).alias("f")
     ).select(F.to_json(F.create_map(F.col("subject").cast("string"), F.col("f"))).alias("text"))
-    out = files.norm_stats(texts)
+    root = f"{checkpoint_dir(ds.spark).rstrip('/')}/norms-{uuid.uuid4().hex}"
+    texts.withColumn("file", F.xxhash64("text")).write.partitionBy("file").text(root)
+    out = files.load_norm_stats(ds.spark, root)
     return out.withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
-TABLES = ["nation", "customer", "orders", "lineitem", "events"]
+# Every table with its key.
+KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id",
+    "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
+}
 
 
 @query(
     "load_tables",
-    " UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS n FROM {t}" for t in TABLES),
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS name, COUNT(*) AS n, COUNT(DISTINCT {k}) AS n_keys, CAST(SUM({k}) AS BIGINT) AS key_sum FROM {t}" for t, k in KEYS.items()
+    ),
 )
 def load_tables_counts(ds):
+    """Rows, keys and their sum of every table."""
     frames = [
-        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-        for name, df in load_tables(ds.spark, ds.folder, TABLES).items()
+        df.agg(
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_distinct(KEYS[name]).alias("n_keys"),
+            F.sum(KEYS[name]).cast("bigint").alias("key_sum"),
+        )
+        for name, df in load_tables(ds.spark, ds.folder, list(KEYS)).items()
     ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return reduce(DataFrame.unionByName, frames)
