@@ -179,3 +179,33 @@ def test_dictionary_files_in_small_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert [r.name for r in got] == names[:90] + [""] + names[90:]
     assert [r.row_no for r in got] == [*range(90), *range(120, 151)]
+
+
+def test_signals_are_told_apart_by_letter_ranges(spark):
+    """No place of a text is tried against more than nine branches at one level, and no fragment is lost."""
+    pattern = tx.any_of(tuple(tx.fx.DRUG_SIGNALS))
+    most, counts = 0, [0]
+    for ch in pattern:
+        if ch == "(":
+            counts.append(0)
+        elif ch == ")":
+            counts.pop()
+        elif ch == "|":
+            counts[-1] += 1
+            most = max(most, counts[-1])
+    assert most < 9
+    texts = [f"x{w}9" for w in tx.fx.DRUG_SIGNALS] + [w[:-1] for w in tx.fx.DRUG_SIGNALS] + ["", "zz"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.has_signal(F.col("t")).alias("hit")).collect()
+    assert all(r.hit == any(w in r.t for w in tx.fx.DRUG_SIGNALS) for r in got)
+
+
+def test_names_are_judged_without_listing_their_words(spark):
+    """Letters and the longest word are read off the text: no array of words, which no engine stage can fuse."""
+    names = ["abcd ef 5 mg", "abc def 5 mg", "ABCDEF 2 viên", "xảởỡ ab 1 gói", "losar", "losartan", "12 (3)", "", None, "agifuros", "ag1 f uro", "(388) furo"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    judged = df.select("name", tx.plausible(F.col("name")).alias("ok"))
+    assert "regexp_extract_all" not in judged._jdf.queryExecution().analyzed().toString()
+    ok = {r.name for r in judged.collect() if r.ok}
+    assert ok == {"abcd ef 5 mg", "ABCDEF 2 viên", "xảởỡ ab 1 gói", "losartan", "agifuros"}
+    family = df.select("name", tx.in_family(F.lower("name")).alias("f")).filter("f").collect()
+    assert {r.name for r in family} == {"agifuros", "ag1 f uro", "(388) furo"}
