@@ -191,3 +191,30 @@ def test_missed_reminders_edges(spark):
         assert {r.reminder_id for r in got if r.share_id == 1} == want
         assert 11 not in {r.reminder_id for r in got if r.share_id == 2}
         assert 11 in {r.reminder_id for r in got if r.share_id == 3}
+
+
+def test_only_rights_that_meet_a_subscription_are_indexed_by_time(spark, monkeypatch):
+    """Of 60 rights and 41 subscriptions one pair meets: the time index gets no other, and the deliveries are those of the pair."""
+    from datetime import datetime
+
+    from vitalgrid.operators import fanout
+
+    day = lambda d: datetime(2024, 1, d)
+    rights = [(1, "hr", 100 + i, 7, day(2), day(20)) for i in range(60)]
+    spans = [(9, 1, "hr", "", 100, day(1), None)] + [(i, 1, "hr", "", 500 + i, day(1), None) for i in range(39)] + [(9, 1, None, "", 100, day(1), None)]
+    readings = [(k, 1, "hr", day(k)) for k in range(1, 28)]
+    held = []
+
+    def watched(points, intervals, *more):
+        held.append(intervals.count())
+        return in_force(points, intervals, *more)
+
+    monkeypatch.setattr(fanout, "in_force", watched)
+    out = fanout.broadcast_as_of(
+        spark.createDataFrame(readings, "event_id long, user_id long, metric_type string, time timestamp"),
+        spark.createDataFrame(spans, "client_id long, target_user_id long, metric_type string, group_id string, viewer_id long, from_ts timestamp, to_ts timestamp"),
+        spark.createDataFrame(rights, "owner_id long, metric_type string, watcher_id long, group_id long, from_ts timestamp, to_ts timestamp"),
+        "event_id",
+    )
+    assert sorted((r.event_id, r.client_id, r.viewer_id, r.group_id) for r in out.collect()) == [(k, 9, 100, "") for k in range(2, 20)]
+    assert held == [1, 1]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.asof import next_event
 from vitalgrid.functions.intervals import in_force
+from vitalgrid.session import cut_lineage
 
 KEY = ["client_id", "target_user_id", "metric_type", "group_id"]
 # Control events are numbered; buckets of this many keep the next-event windows short.
@@ -91,8 +92,8 @@ def broadcast_as_of(
     ``key`` names the reading's unique column; permission_spans: owner_id,
     metric_type, watcher_id, group_id, from_ts, to_ts.
     """
-    timed = readings.withColumnRenamed("user_id", "target_user_id")
-    subscribed = in_force(timed, subscription_spans, ["target_user_id", "metric_type"], "time", "from_ts", "to_ts")
+    on = ["target_user_id", "metric_type", "viewer_id", "group_id"]
+    spans = cut_lineage(subscription_spans)
     rights = permission_spans.select(
         F.col("owner_id").alias("target_user_id"),
         "metric_type",
@@ -101,9 +102,13 @@ def broadcast_as_of(
         "from_ts",
         "to_ts",
     )
-    on = ["target_user_id", "metric_type", "viewer_id", "group_id"]
+    # A right nobody subscribed under and a subscription without a right deliver nothing: neither is indexed by time.
+    rights = cut_lineage(rights.join(spans.select(*on), on, "left_semi").distinct())
+    timed = readings.withColumnRenamed("user_id", "target_user_id")
+    allowed = spans.join(rights.select(*on), on, "left_semi").select(subscription_spans.columns)
+    subscribed = in_force(timed, allowed, ["target_user_id", "metric_type"], "time", "from_ts", "to_ts")
     return (
-        in_force(subscribed, rights.distinct(), on, "time", "from_ts", "to_ts")
+        in_force(subscribed, rights, on, "time", "from_ts", "to_ts")
         .select(key, "target_user_id", "metric_type", "client_id", "viewer_id", "group_id")
         .distinct()
     )
