@@ -263,3 +263,22 @@ def test_spans_of_rows_without_ids(documents):
     one, two = f"{a}plumless{b}", f"{a}buckeroo{b}"
     for rows in ([(None, one), (None, two), (7, one)], [(3, one), (3, two), (7, one)]):
         assert got(drop_repeated_bytes(documents(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_spans(rows)
+
+
+def test_index_entries_are_short():
+    """An entry takes at most 16 bytes, 20 for a set of more than 65,535 shingles; sets that share a head still meet."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from vitalgrid.llm import shingle_join as sj
+
+    words = [f"w{i}" for i in range(70_000)]
+    for texts, most in (([" ".join(words[:200]), " ".join(words[:199]), " ".join(words[300:400])], 16), ([" ".join(words), " ".join(words[:-1])], 20)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+        none = np.zeros(0, np.uint64)
+        out = pd.concat([b.to_pandas() for b in sj.posted(iter([batch]), none, np.zeros(0, np.int64), 1)])
+        n = sum(map(len, out["sets"])) // 8
+        assert sum(len(v) for c in ("tokens", "sets", "sizes", "places") for v in out[c]) <= most * n
+        found = sj.clustered((0,), out)
+        owner, hashed = sj.shingle_sets([t.encode() for t in texts])
+        assert set(found["d1"]) == set(sj.digests(owner, hashed, len(texts))[1][:2].tolist())
